@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, substring_dedup
+from . import bpe, exact_dedup, ngram_join, substring_dedup
 from .common import delete_path, table
 
 
@@ -21,6 +21,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -30,6 +34,7 @@ def queries() -> dict:
     return {
         "op4_bpe": op4_bpe,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_ngram_join": op9_ngram_join,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

@@ -126,8 +126,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield part, [t.encode() for t in texts]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text): the key is doc_id where ids are whole and unique.
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, doc_id, text), and whether the key is doc_id: it is where ids are whole and unique.
 
     Otherwise it is a hash of id and text, so that rows of one id with other
     texts are told apart; rows repeated in both are separate places all the same.
@@ -135,7 +135,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     narrow = docs.select("doc_id", "text")
     odd = narrow.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
     key = F.xxhash64("doc_id", "text") if odd else F.col("doc_id")
-    return narrow.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return narrow.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), not odd
 
 
 def fingerprint_rows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -267,13 +267,14 @@ def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame
     empty table gives no rows.  Further columns are ignored.
     """
     spark = docs.sparkSession
-    batch = keyed(docs)
-    every = batch if history is None else batch.unionByName(keyed(history))
+    batch, _ = keyed(docs)
+    earlier = None if history is None else keyed(history)[0]
+    every = batch if earlier is None else batch.unionByName(earlier)
     index.add(fingerprint_rows(batch, window, gram))
     if index.runs() > index.max_runs:
         index.compact()
     per_doc = cut(_document_rows(batch, window, gram))
-    local = per_doc if history is None else per_doc.unionByName(_document_rows(keyed(history), window, gram))
+    local = per_doc if earlier is None else per_doc.unionByName(_document_rows(earlier, window, gram))
     candidates = (
         index.repeated()
         .unionByName(local.select("key", F.explode("fps").alias("fp")))

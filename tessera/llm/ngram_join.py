@@ -1,11 +1,13 @@
 """Jaccard self-join on word n-grams with adaptive multi-match prefixes.
 
-All shingles have one global order, frequent ones last.  A document of n
-shingles must share at least ``need(n)`` with any partner, so if it shows its
-first ``n - need(n) + l`` shingles, a partner that shows as many for its own l
-has at least the smaller l of them in common.  Each document gets the l that
-makes the estimated cost of its candidates, over which l of its shingles must
-agree, plus that of a longer prefix least.
+All shingles have one global order, frequent ones last.  Two documents of n and
+m shingles that link share at least ``overlap(n, m)``, so the first
+``n - overlap(n, m) + l`` of the one and ``m - overlap(n, m) + l`` of the other
+have l in common.  Each document gets the l that makes the estimated cost of its
+candidates, for which l shingles must agree, plus that of a longer prefix least;
+a pair goes by the smaller l of the two.  Shown are the shingles that the
+smallest possible partner asks for, each with its position, and a meeting at a
+shingle counts only if its positions are in the prefixes for these two sizes.
 
 What is wanted are the components, so a posting list is not expanded into
 pairs: its members are compared with a leader (as many pairs as members), and
@@ -43,6 +45,11 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def overlap(n, m, percent: int):
+    """Shingles that sets of n and m share at least if they link; for arrays and columns of whole numbers alike."""
+    return ((n + m) * percent + 99 + percent) // (100 + percent)
+
+
 def shingle_sets(texts: list[bytes], k: int, order_of) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, first): the distinct shingles of each text in the order of ``order_of``; first[d]:first[d+1] are those of d."""
     words = words_of([t.translate(LOWER_TABLE) for t in texts], SPACES)
@@ -153,9 +160,10 @@ def choose_l(grams: np.ndarray, first: np.ndarray, order: Order, percent: int) -
     total = np.concatenate([[0.0], np.cumsum(partners)])
     n = np.diff(first)
     base = n - need(n, percent)
+    close = n - overlap(n, n, percent)  # most partners are of about the same size
     best, best_cost, size = np.ones(len(n), np.int64), np.full(len(n), np.inf), 1
     while size == 1 or len(n) and size <= n.max() // 8:
-        end = np.minimum(first[:-1] + base + size, first[1:])
+        end = np.minimum(first[:-1] + close + size, first[1:])
         cost = (base + size) + (total[end] - total[first[:-1]]) / size * n * VERIFY_COST
         better = (cost < best_cost) & ((size == 1) | (size <= n // 8))
         best[better], best_cost[better] = size, cost[better]
@@ -164,7 +172,7 @@ def choose_l(grams: np.ndarray, first: np.ndarray, order: Order, percent: int) -
 
 
 def prefixes(rows: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
-    """(token, salt, key, n, l): the shown shingles; of equal sets that a task meets together only the first is shown."""
+    """(token, salt, key, n, l, p): the shown shingles; of equal sets that a task meets together only the first is shown."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches):
@@ -182,36 +190,37 @@ def prefixes(rows: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
             parts = np.maximum(1, -(-docs[at] // SALT_ROWS))
             salt = (mix(of.astype(np.uint64) + grams[at]) % parts.astype(np.uint64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(grams[at])), pa.array(np.where(parts > 1, salt + 1, 0).astype(np.int32)), part.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(level[of].astype(np.int32))],
-                ["token", "salt", "key", "n", "l"],
+                [pa.array(signed(grams[at])), pa.array(np.where(parts > 1, salt + 1, 0).astype(np.int32)), part.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(level[of].astype(np.int32)), pa.array((at - first[of]).astype(np.int32))],
+                ["token", "salt", "key", "n", "l", "p"],
             )
 
-    return rows.select("key", "text").mapInArrow(run, "token bigint, salt int, key bigint, n int, l int")
+    return rows.select("key", "text").mapInArrow(run, "token bigint, salt int, key bigint, n int, l int, p int")
 
 
-STARS = "kind int, token bigint, a bigint, b bigint, n int, l int, c int"
+STARS = "kind int, token bigint, a bigint, b bigint, n int, l int, p int, c int"
 
 
 def stars(shown: DataFrame, percent: int) -> DataFrame:
     """Posting lists as stars, from rows sorted by shingle, size and key; in bounded memory.
 
-    kind 0: pair (a, b) whose sizes allow a link, a being the leader of c lists
-    that hold b; l is the smaller of theirs.  kind 1: document a of size n and
-    level l in the list of ``token`` led by b, for lists of three and more.
+    kind 0: pair (a, b) whose sizes and positions allow a link, a being the leader
+    of c lists that hold b; l is the smaller of theirs.  kind 1: document a of size
+    n, level l and position p in the list of ``token`` led by b, for lists of three
+    and more.
     kind 2: the first leader a of a part of a list that is dealt to several tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # of the list that the last batch ended in: token, salt, leader's key, n and l, rows so far
+        held = None  # of the list that the last batch ended in: token, salt, leader's key, n, l and p, rows so far
         for batch in batches:
             if not len(batch):
                 continue
-            token, salt, key, n, level = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            token, salt, key, n, level, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             virtual = held is not None and held[0] == token[0] and held[1] == salt[0]
             before = 0
             if virtual:  # the leader so far stands in front again
-                before = held[5] - 1
-                token, salt, key, n, level = (np.concatenate([np.array([x], y.dtype), y]) for x, y in zip(held[:5], (token, salt, key, n, level), strict=True))
+                before = held[6] - 1
+                token, salt, key, n, level, place = (np.concatenate([np.array([x], y.dtype), y]) for x, y in zip(held[:6], (token, salt, key, n, level, place), strict=True))
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
             starts = np.flatnonzero(new)
@@ -226,31 +235,34 @@ def stars(shown: DataFrame, percent: int) -> DataFrame:
             rank = np.arange(len(token)) - np.repeat(starts, ends - starts)
             rank[: ends[0]] += before
             pair = np.flatnonzero(lead != np.arange(len(token)))
+            x, y = n[lead[pair]].astype(np.int64), n[pair].astype(np.int64)
+            reach = np.minimum(level[lead[pair]], level[pair]) - overlap(x, y, percent)
+            pair = pair[(place[lead[pair]] < x + reach) & (place[pair] < y + reach)]
             if len(pair):
                 a, b = key[lead[pair]], key[pair]
                 order = np.lexsort((b, a))
                 a, b, small = a[order], b[order], np.minimum(level[lead[pair]], level[pair])[order]
                 first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                 counts = np.diff(np.append(first, len(a)))
-                yield _star_rows(0, np.zeros(len(first), np.int64), a[first], b[first], np.zeros(len(first), np.int32), small[first], counts)
+                yield _star_rows(0, np.zeros(len(first), np.int64), a[first], b[first], np.zeros(len(first), np.int32), small[first], np.zeros(len(first), np.int32), counts)
             follows = np.append(~new[1:], True)  # of the batch's last row nothing is known: it counts as followed
             several = np.flatnonzero((rank >= 2) | (rank == 1) & follows | (salt > 0))
             if virtual:
                 several = several[several > 0]
-            yield _star_rows(1, token[several], key[several], key[lead[several]], n[several], level[several], np.zeros(len(several), np.int32))
+            yield _star_rows(1, token[several], key[several], key[lead[several]], n[several], level[several], place[several], np.zeros(len(several), np.int32))
             heads = starts[(salt[starts] > 0) & (rank[starts] == 0)]
-            yield _star_rows(2, token[heads], key[heads], key[heads], n[heads], level[heads], np.zeros(len(heads), np.int32))
+            yield _star_rows(2, token[heads], key[heads], key[heads], n[heads], level[heads], place[heads], np.zeros(len(heads), np.int32))
             last = lead[-1]
-            held = (token[-1], salt[-1], key[last], n[last], level[last], int(rank[-1]) + 1)
+            held = (token[-1], salt[-1], key[last], n[last], level[last], place[last], int(rank[-1]) + 1)
 
-    return shown.select("token", "salt", "key", "n", "l").repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key").mapInArrow(run, STARS)
+    return shown.select("token", "salt", "key", "n", "l", "p").repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key").mapInArrow(run, STARS)
 
 
-def _star_rows(kind: int, token, a, b, n, level, c) -> pa.RecordBatch:
+def _star_rows(kind: int, token, a, b, n, level, place, c) -> pa.RecordBatch:
     size = len(a)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(size, kind, np.int32)), pa.array(token), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(c.astype(np.int32))],
-        ["kind", "token", "a", "b", "n", "l", "c"],
+        [pa.array(np.full(size, kind, np.int32)), pa.array(token), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(c.astype(np.int32))],
+        ["kind", "token", "a", "b", "n", "l", "p", "c"],
     )
 
 
@@ -306,7 +318,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     at = fresh_path(spark, "stars")
     stars(prefixes(rows, order, words, percent), percent).write.parquet(at)
     found = spark.read.schema(STARS).parquet(at)
-    heads = found.where("kind = 2").select("token", F.lit(0).alias("salt"), F.col("a").alias("key"), "n", "l")
+    heads = found.where("kind = 2").select("token", F.lit(0).alias("salt"), F.col("a").alias("key"), "n", "l", "p")
     pairs = found.where("kind = 0").unionByName(stars(heads, percent).where("kind = 0"))
     pairs = cut(pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("l").alias("l")))
     lists = found.where("kind = 1")
@@ -323,8 +335,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     label = cut(components(links))
 
     # What is left: lists that span two components, between members that no leader has decided.
-    member_lists = to_node(to_node(lists.select("token", "a", "b", "n", "l"), "a"), "b")
-    apart = member_lists.select("token", F.col("node_a").alias("node"), F.col("node_b").alias("leader"), "n", "l").distinct()
+    member_lists = to_node(to_node(lists.select("token", "a", "b", "n", "l", "p"), "a"), "b")
+    apart = member_lists.select("token", F.col("node_a").alias("node"), F.col("node_b").alias("leader"), "n", "l", "p").distinct()
     apart = apart.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = verified.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("shared") / F.col("total")).alias("far"))
     known = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "far"))
@@ -332,14 +344,17 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     apart = cut(apart.withColumn("far", F.when(F.col("node") == F.col("leader"), F.lit(0.0)).otherwise(F.col("far"))))
     mixed = cut(apart.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("token"))
     open_lists = cut(apart.join(mixed, "token", "left_semi"))
-    one = open_lists.select("token", *(F.col(c).alias(f"{c}_1") for c in ("node", "leader", "n", "l", "component", "far")))
-    two = open_lists.select("token", *(F.col(c).alias(f"{c}_2") for c in ("node", "leader", "n", "l", "component", "far")))
+    one = open_lists.select("token", *(F.col(c).alias(f"{c}_1") for c in ("node", "leader", "n", "l", "p", "component", "far")))
+    two = open_lists.select("token", *(F.col(c).alias(f"{c}_2") for c in ("node", "leader", "n", "l", "p", "component", "far")))
+    both = F.expr(f"least(l_1, l_2) - ((n_1 + n_2) * {percent} + {99 + percent}) div {100 + percent}")
     crossing = one.join(
         two.withColumnRenamed("token", "token_2"),
         (F.col("token") == F.col("token_2"))
         & (F.col("component_1") < F.col("component_2"))
         & (F.col("n_1") * 100 >= F.col("n_2") * percent)
         & (F.col("n_2") * 100 >= F.col("n_1") * percent)
+        & (F.col("p_1") < F.col("n_1") + both)
+        & (F.col("p_2") < F.col("n_2") + both)
         # Distances of sets obey the triangle inequality: too different from one leader means too far from each other.
         & ~F.coalesce((F.col("leader_1") == F.col("leader_2")) & (F.abs(F.col("far_1") - F.col("far_2")) > 1 - percent / 100 + 1e-9), F.lit(False)),
     )

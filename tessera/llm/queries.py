@@ -6,14 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, substring_dedup
-from .common import delete_path, table
+from . import bpe, exact_dedup, ngram_join, packing, substring_dedup, warc
+from .common import cut, delete_path, fresh_path, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = fresh_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), at)
+    found = cut(warc.page_records(warc.read_warc(spark, at)))
+    delete_path(spark, at)
+    return found
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The rank file holds the vocabulary of byte_bpe_50k.json; a test compares the ids.
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = substring_dedup.new_index(spark)
     found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), index)
@@ -32,7 +45,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_warc": op1_warc,
         "op4_bpe": op4_bpe,
+        "op5_packing": op5_packing,
         "op7_substring_dedup": op7_substring_dedup,
         "op9_ngram_join": op9_ngram_join,
         "op10_exact_dedup": op10_exact_dedup,
@@ -41,6 +56,14 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": """
+            WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+                 d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+                 m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+            SELECT page_id, n AS payload_bytes, h AS payload_digest,
+                   CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+            FROM m""",
         "op10_exact_dedup": f"""
             WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')) AS text_sha256 FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

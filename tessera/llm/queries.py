@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, packing, substring_dedup, warc
+from . import bpe, exact_dedup, ngram_join, packing, pii, substring_dedup, warc
 from .common import cut, delete_path, fresh_path, table
 
 
@@ -34,6 +34,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict:
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_pii": op8_pii,
         "op9_ngram_join": op9_ngram_join,
         "op10_exact_dedup": op10_exact_dedup,
     }

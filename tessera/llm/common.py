@@ -46,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """``cut`` for loops: what the optimizer has inferred about columns is forgotten too.
+
+    A checkpoint keeps the inferred constraints, and through renamings they
+    double from one round of a loop to the next.
+    """
+    spark, once = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(once.toJavaRDD(), once.schema()), spark)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

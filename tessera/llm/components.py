@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut_in_loop as cut
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -38,6 +38,8 @@ VERIFY_COST = 0.05
 RARE_PARTNERS = 0.2
 #: A shingle known to have more documents is dealt to as many tasks as hold so many each.
 SALT_ROWS = 100_000
+#: Rounds of further leaders before what is left is joined whole; they end early when they find little.
+LEADER_ROUNDS = 8
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -337,24 +339,48 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     # What is left: lists that span two components, between members that no leader has decided.
     member_lists = to_node(to_node(lists.select("token", "a", "b", "n", "l", "p"), "a"), "b")
     apart = member_lists.select("token", F.col("node_a").alias("node"), F.col("node_b").alias("leader"), "n", "l", "p").distinct()
-    apart = apart.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = verified.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("shared") / F.col("total")).alias("far"))
     known = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "far"))
     apart = apart.join(known.toDF("node", "leader", "far"), ["node", "leader"], "left")
-    apart = cut(apart.withColumn("far", F.when(F.col("node") == F.col("leader"), F.lit(0.0)).otherwise(F.col("far"))))
-    mixed = cut(apart.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("token"))
-    open_lists = cut(apart.join(mixed, "token", "left_semi"))
-    one = open_lists.select("token", *(F.col(c).alias(f"{c}_1") for c in ("node", "leader", "n", "l", "p", "component", "far")))
-    two = open_lists.select("token", *(F.col(c).alias(f"{c}_2") for c in ("node", "leader", "n", "l", "p", "component", "far")))
-    both = F.expr(f"least(l_1, l_2) - ((n_1 + n_2) * {percent} + {99 + percent}) div {100 + percent}")
+    apart = apart.withColumn("far", F.when(F.col("node") == F.col("leader"), F.lit(0.0)).otherwise(F.col("far")))
+    open_lists = _viable(_labelled(apart, label), percent)
+    tried = candidates
+    if open_lists.limit(1).count():
+        open_rows = cut(rows.join(open_lists.select(F.col("node").alias("key")).distinct(), "key", "left_semi"))
+    for turn in range(LEADER_ROUNDS):
+        # Other leaders, by their rows and by lot: components that are one soon meet, at a pair for each row.
+        lot = F.col("k") * (50 + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(100)))
+        lead = F.max(F.struct(lot.alias("lot"), "node", "n", "l", "p", "component"))
+        leaders = cut(open_lists.groupBy("token").agg(lead.alias("x")).select("token", *(F.col(f"x.{c}").alias(f"{c}_1") for c in ("node", "n", "l", "p", "component"))))
+        others = open_lists.select("token", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "l", "p", "component")))
+        met = others.join(leaders, "token").where((F.col("component_1") != F.col("component_2")) & _may_link(percent))
+        pairs = cut(met.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        n_pairs = pairs.count()
+        if not n_pairs:
+            break
+        found_links = verify(pairs, open_rows, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        n_links = found_links.count()
+        tried, links = tried.unionByName(pairs), links.unionByName(found_links)
+        if n_links:
+            label = cut(components(links))
+            open_lists = _labelled(open_lists, label)
+        if n_links * 50 < n_pairs:
+            break
+
+    open_lists = _viable(open_lists, percent)
+    # The largest component of a list meets the others, never itself.
+    sizes = open_lists.groupBy("token", "component").agg(F.countDistinct("node").alias("size"))
+    largest = cut(sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest")))
+    placed = cut(open_lists.join(largest, "token"))
+    names = ("node", "leader", "n", "l", "p", "component", "far", "k")
+    one = placed.where("component != largest").select("token", *(F.col(c).alias(f"{c}_1") for c in names))
+    two = placed.select(F.col("token").alias("token_2"), *(F.col(c).alias(f"{c}_2") for c in names))
     crossing = one.join(
-        two.withColumnRenamed("token", "token_2"),
+        two,
         (F.col("token") == F.col("token_2"))
-        & (F.col("component_1") < F.col("component_2"))
-        & (F.col("n_1") * 100 >= F.col("n_2") * percent)
-        & (F.col("n_2") * 100 >= F.col("n_1") * percent)
-        & (F.col("p_1") < F.col("n_1") + both)
-        & (F.col("p_2") < F.col("n_2") + both)
+        & (F.col("component_1") != F.col("component_2"))
+        & _may_link(percent)
+        & (F.least("k_1", "k_2") >= F.least("l_1", "l_2"))
         # Distances of sets obey the triangle inequality: too different from one leader means too far from each other.
         & ~F.coalesce((F.col("leader_1") == F.col("leader_2")) & (F.abs(F.col("far_1") - F.col("far_2")) > 1 - percent / 100 + 1e-9), F.lit(False)),
     )
@@ -364,9 +390,9 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         .where("c >= l")
         .select("a", "b")
     )
-    pairs2 = cut(pairs2.join(candidates, ["a", "b"], "left_anti"))
+    pairs2 = cut(pairs2.join(tried, ["a", "b"], "left_anti"))
     if pairs2.limit(1).count():
-        late = verify(pairs2, rows, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        late = verify(pairs2, open_rows, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         label = cut(components(links.unionByName(late)))
 
     named = member.join(label, "node", "left").select("key", "doc_id", "n", F.coalesce("component", "node").alias("component"))
@@ -376,6 +402,51 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     return result
 
 
+def _viable(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Rows at which their document may still link with another of the list, with k.
+
+    A pair that no leader has decided meets l times, l being the smaller of
+    theirs, at positions that the smallest partner of a list allows, in these
+    lists only.  A document with k such rows can't link with one that asks for
+    more.  Without those who can't, others have fewer, so this is repeated while
+    it removes much.
+    """
+    rows, before = open_lists, -1
+    while True:
+        lists = cut(rows.groupBy("token").agg(F.min("n").alias("n_min"), F.min("l").alias("l_min")))
+        reach = F.expr(f"n - ((n + greatest(n_min, (n * {percent} + 99) div 100)) * {percent} + {99 + percent}) div {100 + percent} + l")
+        near = cut(rows.drop("k").join(lists, "token").where(F.col("p") < reach))
+        k = cut(near.groupBy("node").agg(F.countDistinct("token").alias("k")))
+        alive = near.join(k, "node").where(F.col("k") >= F.least("l", "l_min")).drop("n_min", "l_min")
+        rows = _mixed(cut(alive))
+        count = rows.count()
+        if before >= 0 and count > 0.9 * before or not count:
+            return rows
+        before = count
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """Rows of lists that span two components."""
+    mixed = cut(lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"))
+    return cut(lists.join(mixed, "token", "left_semi"))
+
+
+def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of lists that span two components, by the components of ``label``."""
+    return _mixed(cut(lists.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))))
+
+
+def _may_link(percent: int) -> Column:
+    """Whether sizes and positions (n_1, l_1, p_1, n_2, l_2, p_2) of a meeting allow a link."""
+    reach = F.expr(f"least(l_1, l_2) - ((n_1 + n_2) * {percent} + {99 + percent}) div {100 + percent}")
+    return (
+        (F.col("n_1") * 100 >= F.col("n_2") * percent)
+        & (F.col("n_2") * 100 >= F.col("n_1") * percent)
+        & (F.col("p_1") < F.col("n_1") + reach)
+        & (F.col("p_2") < F.col("n_2") + reach)
+    )
+
+
 def _smallest_ids(named: DataFrame) -> DataFrame:
     least = cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return named.join(least, "component")

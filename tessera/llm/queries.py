@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, packing, pii, substring_dedup, warc
+from . import bpe, exact_dedup, ngram_join, packing, pii, substring_dedup, toxicity, warc
 from .common import cut, delete_path, fresh_path, table
 
 
@@ -27,6 +27,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = substring_dedup.new_index(spark)
     found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), index)
@@ -52,6 +56,7 @@ def queries() -> dict:
         "op1_warc": op1_warc,
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
+        "op6_toxicity": op6_toxicity,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_pii": op8_pii,
         "op9_ngram_join": op9_ngram_join,

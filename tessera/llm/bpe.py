@@ -246,7 +246,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", characters: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", characters: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches so that a slice holds about so much text; null counts as empty."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))

@@ -38,7 +38,9 @@ VERIFY_COST = 0.05
 RARE_PARTNERS = 0.2
 #: A shingle known to have more documents is dealt to as many tasks as hold so many each.
 SALT_ROWS = 100_000
-#: Rounds of further leaders before what is left is joined whole; they end early when they find little.
+#: Rounds of further leaders before what is left is joined whole.  They end early when they find little, and
+#: are not needed where lists hold at most so many pairs a row.
+CROWDED = 25
 LEADER_ROUNDS = 8
 
 
@@ -276,8 +278,8 @@ def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, start = np.array([len(x) + len(y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]), 0
-            while start < len(batch):  # as many pairs together as hold four million characters
-                stop = start + max(1, int(np.searchsorted(np.cumsum(size[start:]), 4_000_000, side="right")))
+            while start < len(batch):  # as many pairs together as hold a million characters
+                stop = start + max(1, int(np.searchsorted(np.cumsum(size[start:]), 1_000_000, side="right")))
                 part, start = batch.slice(start, stop - start), stop
                 left, right = ([t.encode() for t in part.column(i).to_pylist()] for i in (2, 3))
                 x, at_x = shingle_sets(left, k, lambda g: g)
@@ -348,6 +350,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     if open_lists.limit(1).count():
         open_rows = cut(rows.join(open_lists.select(F.col("node").alias("key")).distinct(), "key", "left_semi"))
     for turn in range(LEADER_ROUNDS):
+        if not _crowded(open_lists):
+            break
         # Other leaders, by their rows and by lot: components that are one soon meet, at a pair for each row.
         lot = F.col("k") * (50 + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(100)))
         lead = F.max(F.struct(lot.alias("lot"), "node", "n", "l", "p", "component"))
@@ -367,7 +371,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         if n_links * 50 < n_pairs:
             break
 
-    open_lists = _viable(open_lists, percent)
+    if turn:
+        open_lists = _viable(open_lists, percent)
     # The largest component of a list meets the others, never itself.
     sizes = open_lists.groupBy("token", "component").agg(F.countDistinct("node").alias("size"))
     largest = cut(sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest")))
@@ -408,21 +413,28 @@ def _viable(open_lists: DataFrame, percent: int) -> DataFrame:
     A pair that no leader has decided meets l times, l being the smaller of
     theirs, at positions that the smallest partner of a list allows, in these
     lists only.  A document with k such rows can't link with one that asks for
-    more.  Without those who can't, others have fewer, so this is repeated while
-    it removes much.
+    more.  Without those who can't, others have fewer, so this is done again if
+    it removed most rows.
     """
-    rows, before = open_lists, -1
-    while True:
+    rows = open_lists
+    for _ in range(2):
+        before = rows.count()
         lists = cut(rows.groupBy("token").agg(F.min("n").alias("n_min"), F.min("l").alias("l_min")))
         reach = F.expr(f"n - ((n + greatest(n_min, (n * {percent} + 99) div 100)) * {percent} + {99 + percent}) div {100 + percent} + l")
         near = cut(rows.drop("k").join(lists, "token").where(F.col("p") < reach))
         k = cut(near.groupBy("node").agg(F.countDistinct("token").alias("k")))
         alive = near.join(k, "node").where(F.col("k") >= F.least("l", "l_min")).drop("n_min", "l_min")
         rows = _mixed(cut(alive))
-        count = rows.count()
-        if before >= 0 and count > 0.9 * before or not count:
-            return rows
-        before = count
+        if rows.count() > 0.5 * before:
+            break
+    return rows
+
+
+def _crowded(lists: DataFrame) -> bool:
+    """Whether the lists' members in different components make far more pairs than there are rows."""
+    sizes = lists.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("inner"))
+    rows, pairs = sizes.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("inner")) / 2)).first()
+    return bool(rows) and pairs > CROWDED * rows
 
 
 def _mixed(lists: DataFrame) -> DataFrame:

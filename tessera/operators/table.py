@@ -164,6 +164,10 @@ class Table:
             text = F.when(text == "__HIVE_DEFAULT_PARTITION__", F.lit(None)).otherwise(F.expr("url_decode(replace(x, '+', '%2B'))".replace("x", f"regexp_extract(file_path, '/{folder}=([^/]*)/', 1)")))
             values += [F.lit(f.name), text]
         partition = F.create_map(*values) if values else F.create_map().cast("map<string,string>")
+        # An empty text has the folder of null: such a value isn't known, so it is left out.
+        texts = [f.name for f in self.spec if f.transform.result(self.schema.field(f.source).type) == "string"]
+        if texts:
+            partition = F.map_filter(partition, lambda k, v: v.isNotNull() | ~k.isin(texts))
         paths = found.withColumn("partition", partition).repartition(max(1, min(200, found.count())))
         written = introspect(paths, self.schema).where("record_count > 0")
         from ..plans.persist import once

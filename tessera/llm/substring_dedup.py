@@ -74,7 +74,8 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one generation, then drop the old one."""
-        rows, old = self.rows(), self.at
+        # Read as plain files: known buckets would make Spark leave out the exchange that brings a bucket's runs together.
+        rows, old = self.spark.read.parquet(self.at), self.at
         new = f"{self.path}/generation-{self.generation + 1}"
         delete_path(self.spark, new)  # what an earlier attempt may have left
         self._write(rows, f"fingerprints_{uuid.uuid4().hex}", new)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,16 @@ def cut_in_loop(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(once.toJavaRDD(), once.schema()), spark)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle and checkpoint files that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver that only
+    plans jobs seldom needs to do by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

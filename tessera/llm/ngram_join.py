@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import LOWER_TABLE, cut, delete_path, fresh_path
+from .common import LOWER_TABLE, cut, delete_path, fresh_path, release
 from .components import components
 from .substring_dedup import keyed
 from .words import SPACES, mix, signed, words_of
@@ -40,7 +40,7 @@ RARE_PARTNERS = 0.2
 SALT_ROWS = 100_000
 #: Rounds of further leaders before what is left is joined whole.  They end early when they find little, and
 #: are not needed where lists hold at most so many pairs a row.
-CROWDED = 25
+CROWDED = 4
 LEADER_ROUNDS = 8
 
 
@@ -54,8 +54,12 @@ def overlap(n, m, percent: int):
     return ((n + m) * percent + 99 + percent) // (100 + percent)
 
 
-def shingle_sets(texts: list[bytes], k: int, order_of) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, first): the distinct shingles of each text in the order of ``order_of``; first[d]:first[d+1] are those of d."""
+def _same(grams: np.ndarray) -> np.ndarray:
+    return grams
+
+
+def shingle_sets(texts: list[bytes], k: int, order_of=_same) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, first, order): the distinct shingles of each text in the order of ``order_of``; first[d]:first[d+1] are those of d."""
     words = words_of([t.translate(LOWER_TABLE) for t in texts], SPACES)
     grams, whole = words.grams(k)
     per_text = np.diff(words.first)
@@ -71,12 +75,21 @@ def shingle_sets(texts: list[bytes], k: int, order_of) -> tuple[np.ndarray, np.n
                 whole[at] = True
     grams, of = grams[whole], of[whole]
     order = order_of(grams)
-    by = np.lexsort((order, of))
+    # One sort by text and the order's leading bits; only where these tie for different shingles are both sorted whole.
+    bits = np.uint64(max(1, (len(texts) - 1).bit_length()))
+    joint = (of.astype(np.uint64) << (np.uint64(64) - bits)) | (order >> bits)
+    by = np.argsort(joint)
+    joint = joint[by]
+    if ((joint[1:] == joint[:-1]) & (grams[by[1:]] != grams[by[:-1]])).any():
+        by = np.lexsort((order, of))
     grams, of, order = grams[by], of[by], order[by]
     new = np.ones(len(grams), bool)
     new[1:] = (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])
     grams, of = grams[new], of[new]
-    return grams, np.searchsorted(of, np.arange(len(texts) + 1))
+    return grams, np.searchsorted(of, np.arange(len(texts) + 1)), order[new]
+
+
+_FREQUENT_BIT = np.uint64(1) << np.uint64(63)
 
 
 class Order:
@@ -84,27 +97,28 @@ class Order:
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         by = np.argsort(tokens)
-        self.tokens, self.counts = tokens[by], counts[by]
+        self.tokens, counts = tokens[by], counts[by]
+        ranked = np.lexsort((self.tokens, counts))
         self.rank = np.empty(len(tokens), np.uint64)
-        self.rank[np.lexsort((self.tokens, self.counts))] = np.arange(len(tokens), dtype=np.uint64)
-
-    def _find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.tokens):
-            return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
-        at = np.minimum(np.searchsorted(self.tokens, grams), len(self.tokens) - 1)
-        return at, self.tokens[at] == grams
+        self.rank[ranked] = np.arange(len(tokens), dtype=np.uint64)
+        self.count_of_rank = counts[ranked]
+        self.maybe = np.zeros(1 << 20, bool)  # by leading bits: most shingles are seen to be rare at once
+        self.maybe[self.tokens >> np.uint64(44)] = True
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        at, known = self._find(grams)
         out = grams >> np.uint64(1)
-        out[known] = (np.uint64(1) << np.uint64(63)) | self.rank[at[known]]
+        if len(self.tokens):
+            some = np.flatnonzero(self.maybe[grams >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.tokens, grams[some]), len(self.tokens) - 1)
+            known = self.tokens[at] == grams[some]
+            out[some[known]] = _FREQUENT_BIT | self.rank[at[known]]
         return out
 
-    def partners(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated further documents of each shingle, and its known number of documents (else 0)."""
-        at, known = self._find(grams)
-        docs = np.zeros(len(grams), np.int64)
-        docs[known] = self.counts[at[known]]
+    def partners(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated further documents of shingles by their place in the order, and their known number of documents (else 0)."""
+        docs = np.zeros(len(order), np.int64)
+        known = order >= _FREQUENT_BIT
+        docs[known] = self.count_of_rank[(order[known] ^ _FREQUENT_BIT).astype(np.int64)]
         return np.where(known, docs - 1.0, RARE_PARTNERS), docs
 
 
@@ -127,7 +141,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches):
-            grams, first = shingle_sets(texts, k, lambda g: g)
+            grams, first, _ = shingle_sets(texts, k)
             s1, s2 = _totals(grams, first)
             token, count = np.unique(grams, return_counts=True)
             often = np.flatnonzero(count >= 4)
@@ -158,9 +172,9 @@ def frequent_shingles(signed_rows: DataFrame) -> Order:
     return Order(np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64))
 
 
-def choose_l(grams: np.ndarray, first: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def choose_l(places: np.ndarray, first: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(l, known documents of each shingle): the cheapest l of each document, a power of two up to an eighth of its shingles."""
-    partners, docs = order.partners(grams)
+    partners, docs = order.partners(places)
     total = np.concatenate([[0.0], np.cumsum(partners)])
     n = np.diff(first)
     base = n - need(n, percent)
@@ -180,9 +194,9 @@ def prefixes(rows: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches):
-            grams, first = shingle_sets(texts, k, order)
+            grams, first, places = shingle_sets(texts, k, order)
             n = np.diff(first)
-            level, docs = choose_l(grams, first, order, percent)
+            level, docs = choose_l(places, first, order, percent)
             shown = np.where(n > 0, np.minimum(n - need(n, percent) + level, n), 0)
             s1, s2 = _totals(grams, first)
             _, one = np.unique(np.stack([s1, s2], axis=1), axis=0, return_index=True)
@@ -282,8 +296,8 @@ def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
                 stop = start + max(1, int(np.searchsorted(np.cumsum(size[start:]), 1_000_000, side="right")))
                 part, start = batch.slice(start, stop - start), stop
                 left, right = ([t.encode() for t in part.column(i).to_pylist()] for i in (2, 3))
-                x, at_x = shingle_sets(left, k, lambda g: g)
-                y, at_y = shingle_sets(right, k, lambda g: g)
+                x, at_x, _ = shingle_sets(left, k)
+                y, at_y, _ = shingle_sets(right, k)
                 shared = [len(np.intersect1d(x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]], assume_unique=True)) for i in range(len(left))]
                 total = np.diff(at_x) + np.diff(at_y) - np.array(shared)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
@@ -324,6 +338,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     found = spark.read.schema(STARS).parquet(at)
     heads = found.where("kind = 2").select("token", F.lit(0).alias("salt"), F.col("a").alias("key"), "n", "l", "p")
     pairs = found.where("kind = 0").unionByName(stars(heads, percent).where("kind = 0"))
+    release(spark)
     pairs = cut(pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("l").alias("l")))
     lists = found.where("kind = 1")
 
@@ -337,6 +352,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     verified = verify(candidates, rows, words, percent)
     links = verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = cut(components(links))
+    release(spark)
 
     # What is left: lists that span two components, between members that no leader has decided.
     member_lists = to_node(to_node(lists.select("token", "a", "b", "n", "l", "p"), "a"), "b")
@@ -368,7 +384,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         if n_links:
             label = cut(components(links))
             open_lists = _labelled(open_lists, label)
-        if n_links * 50 < n_pairs:
+        release(spark)
+        if n_links * 20 < n_pairs:
             break
 
     if turn:
@@ -395,6 +412,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         .where("c >= l")
         .select("a", "b")
     )
+    release(spark)
     pairs2 = cut(pairs2.join(tried, ["a", "b"], "left_anti"))
     if pairs2.limit(1).count():
         late = verify(pairs2, open_rows, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, delete_path, fresh_path
+from .common import cut, delete_path, fresh_path, release
 from .words import SPACES, Words, mix, signed, words_of
 
 WINDOW, GRAM = 35, 8
@@ -274,6 +274,7 @@ def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame
     index.add(fingerprint_rows(batch, window, gram))
     if index.runs() > index.max_runs:
         index.compact()
+    release(spark)
     per_doc = cut(_document_rows(batch, window, gram))
     local = per_doc if earlier is None else per_doc.unionByName(_document_rows(earlier, window, gram))
     candidates = (
@@ -285,9 +286,11 @@ def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame
     at, name, n = fresh_path(spark, "candidates"), f"candidates_{uuid.uuid4().hex}", index.buckets
     # The texts move once: what is joined here is kept bucketed by key for the removal.
     every.select("key", "text").repartition(n, "key").join(candidates.hint("merge"), "key").select("key", "text", "fps").write.bucketBy(n, "key").format("parquet").option("path", at).saveAsTable(name)
+    release(spark)
     texts = spark.table(name)
     starts = _repeated_windows(_verify(texts, window, gram)).groupBy("key").agg(F.collect_set("start").alias("starts"))
     removed = cut(_remove(texts.select("key", "text").join(starts.hint("merge"), "key"), window).dropDuplicates(["key"]))
+    release(spark)
     result = cut(
         per_doc.join(removed, "key", "left").select(
             "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")

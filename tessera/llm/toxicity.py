@@ -97,11 +97,10 @@ class TokenTable:
     def of(self, tokens: list[str]) -> np.ndarray:
         if len(self.index) + len(tokens) > self.most and len(self.index) > self.most // 2:
             self.index.clear()
-        get = self.index.get
-        at = [get(t, -1) for t in tokens]
-        if -1 in at:
+        at = list(map(self.index.get, tokens))
+        if None in at:
             for i, t in enumerate(tokens):
-                if at[i] < 0:
+                if at[i] is None:
                     n = self.index.setdefault(t, len(self.index))
                     if n >= len(self.rows):
                         self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import IncompatibleSchema, InvalidInput, InvalidPartition, NotFound, NothingRegistered
 from ..functions.transforms import PartitionField, Transform
 from ..plans.persist import once
-from ..sources.footer import expand, footer_schema, hive_values, introspect, is_local_path, partition_key, typed_values
+from ..sources.footer import expand, footer_schema, footer_tasks, hive_values, introspect, is_local_path, partition_key, typed_values
 from ..types import Schema, same_type
 from .metadata import Snapshot
 from .table import ADD_FIELDS, REJECT, Table, plain_column
@@ -119,7 +119,7 @@ def register(catalog, identifier: str, pattern: str, options: RegisterOptions =
         if not options.allow_noop:
             raise NothingRegistered(f"all {total} files are in {identifier} already")
         return Registered(0, 0, total, None, created)
-    files = once(introspect(_with_values(table, fresh, explicit).repartition(max(1, min(200, n_fresh))), table.schema))
+    files = once(introspect(_with_values(table, fresh, explicit).repartition(footer_tasks(n_fresh)), table.schema))
     snapshot = table.transaction().append(files).commit(timestamp_ms)
     return Registered(n_fresh, int(snapshot.summary["added-records"]), total - n_fresh, snapshot, created)
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..errors import IncompatibleSchema, NotFound
 from ..functions.transforms import PartitionField
 from ..plans.expr import Predicate, as_predicate, may_match_bounds, may_match_partition, to_column
-from ..sources.footer import DELETED, FILES, introspect
+from ..sources.footer import DELETED, FILES, footer_tasks, introspect
 from ..types import Schema, compatible, merge, new_fields
 from .commit import Transaction
 from .metadata import Metadata, Snapshot
@@ -168,7 +168,7 @@ class Table:
         texts = [f.name for f in self.spec if f.transform.result(self.schema.field(f.source).type) == "string"]
         if texts:
             partition = F.map_filter(partition, lambda k, v: v.isNotNull() | ~k.isin(texts))
-        paths = found.withColumn("partition", partition).repartition(max(1, min(200, found.count())))
+        paths = found.withColumn("partition", partition).repartition(footer_tasks(found.count()))
         written = introspect(paths, self.schema).where("record_count > 0")
         from ..plans.persist import once
 

@@ -149,6 +149,11 @@ def read_footer(path: str, ids: dict[str, int] | None) -> dict:
     }
 
 
+def footer_tasks(files: int) -> int:
+    """Tasks to read so many footers: some dozens each, but all cores at work when there are many."""
+    return max(1, min(2000, files // 32 + 1))
+
+
 def introspect(paths: DataFrame, schema: Schema | None = None) -> DataFrame:
     """Inventory rows of Parquet files (one column of paths, optionally ``partition``); only footers are read.
 

@@ -81,7 +81,7 @@ def pruned(spark, tmp_path_factory):
     return [(t, once(t.files_with_stats()), once(t.scan()), F) for t in (table, second, third)]
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=18, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(predicate)
 def test_pruning_never_loses_rows(pruned, p):
     """Files that planning skips hold no row that satisfies the predicate; a scan is the filter over all rows."""

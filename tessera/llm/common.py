@@ -57,6 +57,16 @@ def cut_in_loop(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(once.toJavaRDD(), once.schema()), spark)
 
 
+def thin(df: DataFrame, rows: int | None = None, per_partition: int = 50_000) -> DataFrame:
+    """A computed ``df`` in as many partitions as its rows need, without moving them.
+
+    What is small but comes in the partitions of a large shuffle would otherwise
+    cost every later shuffle a file for each of them.
+    """
+    n = (df.count() if rows is None else rows) // per_partition + 1
+    return df.coalesce(n)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle and checkpoint files that nothing refers to any more.
 

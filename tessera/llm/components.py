@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_in_loop as cut
+from .common import release, thin
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,6 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     state = _state(edges)
     while state[0]:
+        release(links.sparkSession)
+        edges = thin(edges, state[0])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_nearest(both).select("u", F.least("m", "u").alias("m")), "u").where("v > u")
         edges = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())

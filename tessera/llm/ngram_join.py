@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import LOWER_TABLE, cut, delete_path, fresh_path, release
+from .common import LOWER_TABLE, cut, delete_path, fresh_path, release, thin
 from .components import components
 from .substring_dedup import keyed
 from .words import SPACES, mix, signed, words_of
@@ -44,6 +44,10 @@ CROWDED = 4
 LEADER_ROUNDS = 8
 
 
+def cut_thin(df: DataFrame) -> DataFrame:
+    return thin(cut(df))
+
+
 def need(n: np.ndarray, percent: int) -> np.ndarray:
     """Shingles that a document of n shares with any partner at least."""
     return -(-n * percent // 100)
@@ -286,7 +290,7 @@ def _star_rows(kind: int, token, a, b, n, level, place, c) -> pa.RecordBatch:
 
 def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, shared, total, linked) of pairs of keys, by their whole sets."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    wanted = cut_thin(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     texts = cut(rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +309,7 @@ def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
     one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     found = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, shared bigint, total bigint")
-    return cut(found.withColumn("linked", F.expr(f"100 * shared >= {percent} * total")))
+    return cut_thin(found.withColumn("linked", F.expr(f"100 * shared >= {percent} * total")))
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -329,8 +333,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     signed_rows = all_signed.select("key", "doc_id", "n", "s1", "s2")
 
     # Equal sets are one node, named after the smallest key.
-    nodes = cut(signed_rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("node")))
-    member = cut(signed_rows.join(nodes, ["n", "s1", "s2"], "left").select("key", "doc_id", "n", F.coalesce("node", "key").alias("node")))
+    nodes = cut_thin(signed_rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("node")))
+    member = cut_thin(signed_rows.join(nodes, ["n", "s1", "s2"], "left").select("key", "doc_id", "n", F.coalesce("node", "key").alias("node")))
     node_of = member.select("key", "node").distinct()
 
     at = fresh_path(spark, "stars")
@@ -339,7 +343,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     heads = found.where("kind = 2").select("token", F.lit(0).alias("salt"), F.col("a").alias("key"), "n", "l", "p")
     pairs = found.where("kind = 0").unionByName(stars(heads, percent).where("kind = 0"))
     release(spark)
-    pairs = cut(pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("l").alias("l")))
+    pairs = cut_thin(pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("l").alias("l")))
     lists = found.where("kind = 1")
 
     # A pair is led in c lists; in lists where another leads it may meet at most as often as either has rows there.
@@ -348,10 +352,10 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     enough = pairs.join(more_a, "a", "left").join(more_b, "b", "left").where(F.col("c") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) >= F.col("l"))
     to_node = lambda frame, c: frame.join(node_of.toDF(c, f"node_{c}"), c)
     named = to_node(to_node(enough.select("a", "b"), "a"), "b")
-    candidates = cut(named.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).where("a != b").distinct())
+    candidates = cut_thin(named.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).where("a != b").distinct())
     verified = verify(candidates, rows, words, percent)
     links = verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    label = cut(components(links))
+    label = cut_thin(components(links))
     release(spark)
 
     # What is left: lists that span two components, between members that no leader has decided.
@@ -374,7 +378,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         leaders = cut(open_lists.groupBy("token").agg(lead.alias("x")).select("token", *(F.col(f"x.{c}").alias(f"{c}_1") for c in ("node", "n", "l", "p", "component"))))
         others = open_lists.select("token", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "l", "p", "component")))
         met = others.join(leaders, "token").where((F.col("component_1") != F.col("component_2")) & _may_link(percent))
-        pairs = cut(met.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        pairs = cut_thin(met.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         n_pairs = pairs.count()
         if not n_pairs:
             break
@@ -382,7 +386,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         n_links = found_links.count()
         tried, links = tried.unionByName(pairs), links.unionByName(found_links)
         if n_links:
-            label = cut(components(links))
+            label = cut_thin(components(links))
             open_lists = _labelled(open_lists, label)
         release(spark)
         if n_links * 20 < n_pairs:
@@ -393,7 +397,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     # The largest component of a list meets the others, never itself.
     sizes = open_lists.groupBy("token", "component").agg(F.countDistinct("node").alias("size"))
     largest = cut(sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest")))
-    placed = cut(open_lists.join(largest, "token"))
+    placed = cut_thin(open_lists.join(largest, "token"))
     names = ("node", "leader", "n", "l", "p", "component", "far", "k")
     one = placed.where("component != largest").select("token", *(F.col(c).alias(f"{c}_1") for c in names))
     two = placed.select(F.col("token").alias("token_2"), *(F.col(c).alias(f"{c}_2") for c in names))
@@ -413,7 +417,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         .select("a", "b")
     )
     release(spark)
-    pairs2 = cut(pairs2.join(tried, ["a", "b"], "left_anti"))
+    pairs2 = cut_thin(pairs2.join(tried, ["a", "b"], "left_anti"))
     if pairs2.limit(1).count():
         late = verify(pairs2, open_rows, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         label = cut(components(links.unionByName(late)))
@@ -439,10 +443,11 @@ def _viable(open_lists: DataFrame, percent: int) -> DataFrame:
         before = rows.count()
         lists = cut(rows.groupBy("token").agg(F.min("n").alias("n_min"), F.min("l").alias("l_min")))
         reach = F.expr(f"n - ((n + greatest(n_min, (n * {percent} + 99) div 100)) * {percent} + {99 + percent}) div {100 + percent} + l")
-        near = cut(rows.drop("k").join(lists, "token").where(F.col("p") < reach))
+        near = cut_thin(rows.drop("k").join(lists, "token").where(F.col("p") < reach))
         k = cut(near.groupBy("node").agg(F.countDistinct("token").alias("k")))
         alive = near.join(k, "node").where(F.col("k") >= F.least("l", "l_min")).drop("n_min", "l_min")
-        rows = _mixed(cut(alive))
+        rows = _mixed(cut_thin(alive))
+        release(rows.sparkSession)
         if rows.count() > 0.5 * before:
             break
     return rows
@@ -458,12 +463,12 @@ def _crowded(lists: DataFrame) -> bool:
 def _mixed(lists: DataFrame) -> DataFrame:
     """Rows of lists that span two components."""
     mixed = cut(lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"))
-    return cut(lists.join(mixed, "token", "left_semi"))
+    return cut_thin(lists.join(mixed, "token", "left_semi"))
 
 
 def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
     """Rows of lists that span two components, by the components of ``label``."""
-    return _mixed(cut(lists.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))))
+    return _mixed(cut_thin(lists.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))))
 
 
 def _may_link(percent: int) -> Column:

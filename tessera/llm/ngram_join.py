@@ -288,10 +288,17 @@ def _star_rows(kind: int, token, a, b, n, level, place, c) -> pa.RecordBatch:
     )
 
 
-def verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+def texts_of(rows: DataFrame, keys: DataFrame, at: str) -> DataFrame:
+    """(key, text) of some documents, one row a key, written compressed to ``at``."""
+    spark = rows.sparkSession
+    wanted = cut_thin(keys.distinct())
+    rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]).write.option("compression", "zstd").parquet(at)
+    release(spark)
+    return spark.read.schema("key bigint, text string").parquet(at)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, shared, total, linked) of pairs of keys, by their whole sets."""
-    wanted = cut_thin(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    texts = cut(rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +360,9 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     to_node = lambda frame, c: frame.join(node_of.toDF(c, f"node_{c}"), c)
     named = to_node(to_node(enough.select("a", "b"), "a"), "b")
     candidates = cut_thin(named.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).where("a != b").distinct())
-    verified = verify(candidates, rows, words, percent)
+    texts_at = fresh_path(spark, "texts")
+    verified = verify(candidates, texts_of(rows, candidates.select(F.explode(F.array("a", "b")).alias("key")), texts_at), words, percent)
+    delete_path(spark, texts_at)
     links = verified.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = cut_thin(components(links))
     release(spark)
@@ -368,7 +377,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     open_lists = _viable(_labelled(apart, label), percent)
     tried = candidates
     if open_lists.limit(1).count():
-        open_rows = cut(rows.join(open_lists.select(F.col("node").alias("key")).distinct(), "key", "left_semi"))
+        open_texts = texts_of(rows, open_lists.select(F.col("node").alias("key")), texts_at)
     for turn in range(LEADER_ROUNDS):
         if not _crowded(open_lists):
             break
@@ -382,7 +391,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         n_pairs = pairs.count()
         if not n_pairs:
             break
-        found_links = verify(pairs, open_rows, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        found_links = verify(pairs, open_texts, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         n_links = found_links.count()
         tried, links = tried.unionByName(pairs), links.unionByName(found_links)
         if n_links:
@@ -419,13 +428,14 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     release(spark)
     pairs2 = cut_thin(pairs2.join(tried, ["a", "b"], "left_anti"))
     if pairs2.limit(1).count():
-        late = verify(pairs2, open_rows, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        late = verify(pairs2, open_texts, words, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         label = cut(components(links.unionByName(late)))
 
     named = member.join(label, "node", "left").select("key", "doc_id", "n", F.coalesce("component", "node").alias("component"))
     named = named.withColumn("component_id", F.col("component")) if by_id else _smallest_ids(cut(named))
     result = cut(named.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
     delete_path(spark, at)
+    delete_path(spark, texts_at)
     return result
 
 

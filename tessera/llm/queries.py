@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, ngram_join, packing, pii, substring_dedup, toxicity, warc
+from . import audio, bpe, exact_dedup, license_scan, ngram_join, packing, pii, substring_dedup, toxicity, warc
 from .common import cut, delete_path, fresh_path, table
 
 
@@ -18,6 +18,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all recordings (embeddings played as tones), and the best match of every hundredth among all."""
+    prints = cut(audio.fingerprints(audio.render(table(spark, sf_dir, "embeddings")), "vec_id", "audio"))
+    matches = audio.align(prints, prints.where("id % 100 = 0").select("id"))
+    codes = prints.select(F.col("id").alias("vec_id"), F.size("codes").cast("bigint").alias("n_codes"), F.sha2(F.array_join("codes", ",").cast("binary"), 256).alias("codes_sha256"))
+    return codes.join(matches.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -58,6 +66,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
+        "op2_audio": op2_audio,
         "op3_license_scan": op3_license_scan,
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,

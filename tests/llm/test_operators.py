@@ -472,5 +472,29 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in (1, 3, 4, 5, 6, 7, 8, 9, 10))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+# --- op 2
+
+
+def test_audio(spark):
+    import numpy as np
+
+    from tessera.llm import audio
+
+    rng = np.random.default_rng(3)
+    tune = lambda n: np.concatenate([0.5 * np.sin(2 * np.pi * 110 * 2 ** (k / 12) * np.arange(1000) / audio.RATE) for k in rng.integers(0, 36, n)])
+    songs = [tune(40) for _ in range(6)]
+    rows = [(i, audio.to_wav(s)) for i, s in enumerate(songs)]
+    rows += [(10, audio.to_wav(songs[2][audio.HOP * 40 :] + rng.normal(0, 0.001, len(songs[2]) - audio.HOP * 40))), (11, rows[4][1]), (12, None), (13, b""), (14, b"no audio"), (None, rows[0][1]), (15, audio.to_wav(tune(1)))]
+    media = spark.createDataFrame(rows, "k long, audio binary")
+    prints = audio.fingerprints(media, "k", "audio")
+    sizes = {r["id"]: len(r["codes"]) for r in prints.collect()}
+    assert sizes[0] > 200 and sizes[12] == sizes[13] == sizes[14] == 0 and len(sizes) == len(rows)
+    found = {r["id"]: (r["match_id"], r["offset"], r["bit_errors"]) for r in audio.align(prints, media.select("k")).collect()}
+    assert found[11][:2] == (4, 0) and found[4][0] == 11
+    assert found[10][:2] == (2, 40) and found[10][2] < 0.1 and found[2][:2] == (10, -40)
+    assert 1 not in found or found[1][2] > 0.1
+    assert audio.align(prints.limit(0), media.select("k")).count() == 0

@@ -2,7 +2,7 @@
 
 PCM is cut into overlapping frames whose spectra are folded into twelve pitch
 classes.  Rectangle filters over the integral image of these frames give 2 bits
-each, 32 a position, packed into one integer.  Recordings that share pairs of
+each, 32 a position, packed into one integer.  Recordings that share runs of
 successive integers vote for offsets; at the offsets with most votes bit errors
 over the whole overlap decide.
 """
@@ -24,6 +24,8 @@ RATE, FRAME, HOP = 4000, 512, 128
 SPAN = 8
 #: Votes that an offset needs, and the largest share of wrong bits of a match.
 VOTES, BIT_ERRORS = 2, 0.25
+#: Successive integers that vote together: long enough to span a change of sound, as steady sounds are all alike.
+RUN = 12
 
 #: Sixteen filters (kind, first pitch class, classes, frames), made by a rule: kinds in turn, growing sizes.
 FILTERS = [(i % 4, (i * 5) % 12, 2 + i % 4, 2 + 2 * (i % 4)) for i in range(16)]
@@ -124,8 +126,8 @@ def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
     member = cut(named.select("id", "digest").join(groups, "digest").select("id", "node", "last"))
     nodes = cut(named.join(groups.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "codes").dropDuplicates(["node"]))
     asked = cut(member.join(queries.toDF("id"), "id", "left_semi").distinct())
-    pairs = F.transform(F.slice("codes", 1, F.size("codes") - 1), lambda c, i: c * (1 << 31) + F.element_at("codes", (i + 2).cast("int")))
-    codes = nodes.select("node", F.posexplode(pairs).alias("at", "code"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("codes") - (RUN - 1)), lambda i: F.xxhash64(F.slice("codes", i, F.lit(RUN))))
+    codes = nodes.where(F.size("codes") >= RUN).select("node", F.posexplode(runs).alias("at", "code"))
     mine = codes.join(asked.select("node").distinct(), "node", "left_semi").toDF("query", "query_at", "code")
     votes = mine.join(codes, "code").where("query != node").groupBy("query", "node", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES)
     both = votes.join(nodes.select(F.col("node").alias("query"), F.col("codes").alias("a")), "query").join(nodes.select("node", F.col("codes").alias("b")), "node")

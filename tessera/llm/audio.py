@@ -2,9 +2,9 @@
 
 PCM is cut into overlapping frames whose spectra are folded into twelve pitch
 classes.  Rectangle filters over the integral image of these frames give 2 bits
-each, 32 a position, packed into one integer.  Recordings that share runs of
-successive integers vote for offsets; at the offsets with most votes bit errors
-over the whole overlap decide.
+each, 32 a position, packed into one integer.  Each query is laid over every
+other recording at every offset, and bit errors over the whole overlap decide:
+how many bits agree at all offsets at once is a correlation of 32 channels.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, thin
 
 RATE, FRAME, HOP = 4000, 512, 128
 SPAN = 8
-#: Votes that an offset needs, and the largest share of wrong bits of a match.
-VOTES, BIT_ERRORS = 2, 0.25
-#: Successive integers that vote together: long enough to span a change of sound, as steady sounds are all alike.
-RUN = 12
+#: Integers that must overlap (all of a shorter recording), and the largest share of wrong bits of a match.
+OVERLAP, BIT_ERRORS = 13, 0.25
+#: Recordings and queries that are correlated together, fewer of long ones: so many integers at most.
+NODES, QUERIES, BLOCK = 64, 128, 1 << 16
+#: Up to this length of a transform single precision counts bits without error.
+SINGLE = 1 << 14
 
 #: Sixteen filters (kind, first pitch class, classes, frames), made by a rule: kinds in turn, growing sizes.
 FILTERS = [(i % 4, (i * 5) % 12, 2 + i % 4, 2 + 2 * (i % 4)) for i in range(16)]
@@ -108,33 +110,116 @@ def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [fingerprint(from_wav(x)).astype(np.int64) for x in batch.column(1).to_pylist()]
+            codes = [fingerprint(from_wav(x.as_py())).astype(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], ["id", "codes"])
 
     return media.select(F.col(key).cast("bigint").alias("id"), F.col(audio).alias("audio")).mapInArrow(run, "id bigint, codes array<bigint>")
 
 
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """(ids, sizes, codes): (node, codes) of up to ``most`` recordings of a task in one row, sorted by length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(1)
+            sizes = np.diff(codes.offsets.to_numpy())
+            order, begin = np.argsort(sizes, kind="stable"), 0
+            while begin < len(order):
+                end = begin + 1
+                while end < len(order) and end - begin < most and (end - begin + 1) * sizes[order[end]] <= BLOCK:
+                    end += 1
+                part = order[begin:end]
+                raw = codes.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                ids = batch.column(0).take(pa.array(part)).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([sizes[part].tolist()], pa.list_(pa.int32())), pa.array([raw], pa.binary())], ["ids", "sizes", "codes"])
+                begin = end
+
+    return rows.mapInArrow(run, "ids array<bigint>, sizes array<int>, codes binary")
+
+
+def _signs(sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Bits as +1 and -1: (recording, channel, position), zeros beyond a recording's end."""
+    out = np.zeros((len(sizes), 32, sizes.max()), np.float32)
+    bits = 2.0 * ((codes[:, None] >> np.arange(32, dtype=np.uint32)) & 1) - 1
+    for i, (end, size) in enumerate(zip(np.cumsum(sizes), sizes, strict=True)):
+        out[i, :, :size] = bits[end - size : end].T
+    return out
+
+
+def _spectra(signs: np.ndarray, length: int) -> np.ndarray:
+    """(frequency, recording, channel)."""
+    return np.ascontiguousarray(np.fft.rfft(signs if length <= SINGLE else signs.astype(np.float64), length, axis=2).transpose(2, 0, 1))
+
+
+def _best(ids: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], agree: np.ndarray, length: int) -> list[tuple[int, int, int, float]]:
+    """(query, node, offset, bit_errors) of each query's best among these recordings; ``agree``: (query, node, offset modulo length)."""
+    longest, n = int(sizes[0].max()), sizes[1][:, None]
+    offsets = np.arange(1 - longest, int(sizes[1].max()))
+    agree = np.concatenate([agree[:, :, length - longest + 1 :], agree[:, :, : int(sizes[1].max())]], axis=2)
+    found, last = [], None
+    for q, (query, m) in enumerate(zip(ids[0].tolist(), sizes[0].tolist(), strict=True)):
+        if m != last:
+            last, overlap = m, np.minimum(m, n - offsets) - np.maximum(0, -offsets)
+            # That many more bits must agree than not, or nearly so: the exact share is worked out for these alone.
+            least = np.where(overlap >= np.minimum(OVERLAP, np.minimum(m, n)), 32 * (1 - 2 * BIT_ERRORS) * overlap - 1, np.inf).astype(agree.dtype)
+        i, j = np.nonzero(agree[q] >= least)
+        bits = 32 * overlap[i, j]
+        errors = np.where(ids[1][i] == query, 1.0, np.rint((bits - agree[q, i, j]) / 2) / bits)
+        if len(errors) and (lowest := errors.min()) <= BIT_ERRORS:
+            node, offset = min((int(ids[1][i[k]]), int(offsets[j[k]])) for k in np.flatnonzero(errors == lowest))
+            found.append((query, node, offset, float(lowest)))
+    return found
+
+
+def _matches(pairs: DataFrame) -> DataFrame:
+    """(query, node, offset, bit_errors): of each query the best in each block it meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}  # the last spectra of either side, which come again and again
+
+        def spectra(side: int, sizes: np.ndarray, raw: bytes, length: int) -> np.ndarray:
+            if side not in held or held[side][:2] != (raw, length):
+                held[side] = raw, length, _spectra(_signs(sizes, np.frombuffer(raw, "<u4")), length)
+            return held[side][2]
+
+        for batch in batches:
+            found = []
+            for r in range(len(batch)):
+                row = [batch.column(i)[r].as_py() for i in range(6)]
+                ids = np.array(row[0]), np.array(row[3])
+                sizes = np.array(row[1]), np.array(row[4])
+                length = 1 << int(sizes[0].max() + sizes[1].max() - 2).bit_length()
+                left, right = (spectra(k, sizes[k], row[3 * k + 2], length) for k in (0, 1))
+                for start in range(0, len(ids[0]), 16):
+                    some = slice(start, start + 16)
+                    product = np.conj(left[:, some]) @ right.transpose(0, 2, 1)
+                    agree = np.fft.irfft(np.ascontiguousarray(product.transpose(1, 2, 0)), length, axis=2)
+                    found += _best((ids[0][some], ids[1]), (sizes[0][some], sizes[1]), agree, length)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["query", "node", "offset", "bit_errors"])
+
+    return pairs.mapInArrow(run, "query bigint, node bigint, offset bigint, bit_errors double")
+
+
 def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """Best match of each query among all other recordings: (id, match_id, offset, bit_errors).
 
-    ``prints``: (id, codes) of all; ``queries``: ids.  Recordings of equal codes
-    are compared once, under their smallest id; a query of a group of them that
-    isn't that id matches it with no errors.  Ties go to the smaller id.
+    ``prints``: (id, codes) of all; ``queries``: ids.  A match is an offset at
+    which OVERLAP integers or more overlap, all of a recording that has fewer,
+    with at most BIT_ERRORS of their bits wrong; every offset of every other
+    recording is looked at.  Recordings of equal codes are compared once, under
+    their smallest id; a query of a group of them that isn't that id matches it
+    with no errors.  Ties go to the smaller id.
     """
-    named = cut(prints.where("id IS NOT NULL AND size(codes) > 1").withColumn("digest", F.sha2(F.array_join("codes", ",").cast("binary"), 256)))
+    known = prints.where("id IS NOT NULL AND size(codes) > 1").withColumn("digest", F.sha2(F.array_join("codes", ",").cast("binary"), 256))
+    named = cut(known.select("id", "digest"))
     groups = cut(named.groupBy("digest").agg(F.min("id").alias("node"), F.max("id").alias("last")))
-    member = cut(named.select("id", "digest").join(groups, "digest").select("id", "node", "last"))
-    nodes = cut(named.join(groups.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), "codes").dropDuplicates(["node"]))
+    member = cut(named.join(groups, "digest").select("id", "node", "last"))
+    nodes = known.join(groups.select(F.col("node").alias("id"), "digest"), ["id", "digest"], "left_semi").select(F.col("id").alias("node"), "codes").dropDuplicates(["node"])
     asked = cut(member.join(queries.toDF("id"), "id", "left_semi").distinct())
-    runs = F.transform(F.sequence(F.lit(1), F.size("codes") - (RUN - 1)), lambda i: F.xxhash64(F.slice("codes", i, F.lit(RUN))))
-    codes = nodes.where(F.size("codes") >= RUN).select("node", F.posexplode(runs).alias("at", "code"))
-    mine = codes.join(asked.select("node").distinct(), "node", "left_semi").toDF("query", "query_at", "code")
-    votes = mine.join(codes, "code").where("query != node").groupBy("query", "node", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES)
-    both = votes.join(nodes.select(F.col("node").alias("query"), F.col("codes").alias("a")), "query").join(nodes.select("node", F.col("codes").alias("b")), "node")
-    low, high = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("a"), F.size("b") - F.col("offset"))
-    wrong = F.aggregate(F.sequence(low, high - 1), F.lit(0).cast("bigint"), lambda s, i: s + F.bit_count(F.element_at("a", (i + 1).cast("int")).bitwiseXOR(F.element_at("b", (i + F.col("offset") + 1).cast("int")))))
-    judged = both.where(high > low).select("query", "node", "offset", (wrong / (32 * (high - low))).alias("bit_errors")).where(F.col("bit_errors") <= BIT_ERRORS)
-    best = judged.groupBy("query").agg(F.min(F.struct("bit_errors", "node", "offset")).alias("x"))
+    mine = cut(_blocks(thin(nodes.join(asked.select("node").distinct(), "node", "left_semi"), asked.count()), QUERIES))
+    pairs = mine.toDF("query", "query_sizes", "query_codes").crossJoin(_blocks(nodes, NODES))
+    best = _matches(pairs).groupBy("query").agg(F.min(F.struct("bit_errors", "node", "offset")).alias("x"))
     found = asked.join(best, asked["node"] == best["query"], "left")
     twin = F.when(F.col("id") != F.col("node"), F.col("node")).when(F.col("last") != F.col("node"), F.col("last"))
     return found.select(

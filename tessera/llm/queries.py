@@ -20,10 +20,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all recordings (embeddings played as tones), and the best match of every hundredth among all."""
-    prints = cut(audio.fingerprints(audio.render(table(spark, sf_dir, "embeddings")), "vec_id", "audio"))
+    at = fresh_path(spark, "prints")  # as Parquet: steady sounds make codes that pack well
+    audio.fingerprints(audio.render(table(spark, sf_dir, "embeddings")), "vec_id", "audio").write.parquet(at)
+    prints = spark.read.parquet(at)
     matches = audio.align(prints, prints.where("id % 100 = 0").select("id"))
     codes = prints.select(F.col("id").alias("vec_id"), F.size("codes").cast("bigint").alias("n_codes"), F.sha2(F.array_join("codes", ",").cast("binary"), 256).alias("codes_sha256"))
-    return codes.join(matches.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    found = cut(codes.join(matches.withColumnRenamed("id", "vec_id"), "vec_id", "left"))
+    delete_path(spark, at)
+    return found
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -498,3 +498,35 @@ def test_audio(spark):
     assert found[10][:2] == (2, 40) and found[10][2] < 0.1 and found[2][:2] == (10, -40)
     assert 1 not in found or found[1][2] > 0.1
     assert audio.align(prints.limit(0), media.select("k")).count() == 0
+
+
+def brute_alignment(codes, query):
+    """(bit errors, id, offset) of the best match, every offset of every other recording tried."""
+    import numpy as np
+
+    a, best = codes[query], (0.25, None, None)
+    for i, b in codes.items():
+        for offset in range(1 - len(a), len(b)) if i != query else ():
+            low, high = max(0, -offset), min(len(a), len(b) - offset)
+            if high - low >= min(13, len(a), len(b)):
+                wrong = int(np.bitwise_count(np.array(a[low:high]) ^ np.array(b[low + offset : high + offset])).sum())
+                best = min(best, (wrong / (32 * (high - low)), i, offset), key=lambda x: (x[0], x[1] is None, x[1:]))
+    return best
+
+
+def test_audio_alignment_with_wrong_bits(spark):
+    import numpy as np
+
+    from tessera.llm import audio
+
+    rng = np.random.default_rng(8)
+    codes = {i: [int(x) for x in rng.integers(0, 1 << 32, n)] for i, n in enumerate([150, 90, 130, 60, 200, 40, 20, 12, 12, 11, 9, 13])}
+    for i, share in zip(range(12), (0.05, 0.1, 0.15, 0.2) * 3, strict=True):  # a part of each with wrong bits, none of it clean for 12 integers
+        part = codes[i][len(codes[i]) // 4 :] if i < 6 else codes[i]
+        codes[100 + i] = [x ^ sum(1 << b for b in range(32) if rng.random() < share) for x in part]
+    codes[200] = codes[3][:2]
+    df = spark.createDataFrame([*codes.items(), (300, []), (301, None), (None, codes[1])], "id long, codes array<long>").repartition(3)
+    got = {r["id"]: (r["bit_errors"], r["match_id"], r["offset"]) for r in audio.align(df, df.select("id")).collect()}
+    want = {i: best for i in codes if (best := brute_alignment(codes, i))[1] is not None}
+    assert got == want
+    assert all(got[100 + i][1:] == (i, len(codes[i]) // 4 if i < 6 else 0) for i in range(12))

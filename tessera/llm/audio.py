@@ -231,7 +231,7 @@ def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def render(vectors: DataFrame) -> DataFrame:
-    """(vec_id, audio): embeddings played as tones, a quarter of a second for each of up to sixteen values; there is no audio table."""
+    """(vec_id, audio): embeddings played as tones, a quarter of a second for each value; there is no audio table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.arange(RATE // 4) / RATE
@@ -239,7 +239,7 @@ def render(vectors: DataFrame) -> DataFrame:
             for start in range(0, len(batch), 200):
                 part, out = batch.slice(start, 200), []
                 for v in part.column(1).to_pylist():
-                    v = np.nan_to_num(np.array([x or 0.0 for x in (v or [])[:16]], np.float64))
+                    v = np.nan_to_num(np.array([x or 0.0 for x in v or []], np.float64))
                     notes = 110 * 2 ** (np.round(np.clip(v, -2, 2) * 18 + 18) % 36 / 12)
                     out.append(to_wav(0.5 * np.sin(2 * np.pi * notes[:, None] * t).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["vec_id", "audio"])

@@ -530,3 +530,14 @@ def test_audio_alignment_with_wrong_bits(spark):
     want = {i: best for i in codes if (best := brute_alignment(codes, i))[1] is not None}
     assert got == want
     assert all(got[100 + i][1:] == (i, len(codes[i]) // 4 if i < 6 else 0) for i in range(12))
+
+
+def test_audio_plays_all_values(spark):
+    from tessera.llm import audio
+
+    start = [0.1 * (k % 7) for k in range(16)]
+    vectors = spark.createDataFrame([(1, start + [0.3] * 48), (2, start + [-0.4] * 48), (3, []), (4, None)], "vec_id long, embedding array<float>")
+    heard = {r["vec_id"]: audio.from_wav(bytes(r["audio"])) for r in audio.render(vectors).collect()}
+    assert [len(heard[i]) for i in (1, 2, 3, 4)] == [64 * audio.RATE // 4] * 2 + [0, 0]
+    prints = {r["id"]: r["codes"] for r in audio.fingerprints(audio.render(vectors), "vec_id", "audio").collect()}
+    assert prints[1] != prints[2]

@@ -30,9 +30,11 @@ class FingerprintIndex:
     """Sorted immutable runs of window fingerprints: rows (fp, key, n).
 
     A row says that ``fp`` occurs ``n`` times in what one task read together,
-    last in document ``key``.  Runs are the sorted files of a table bucketed by
+    first in document ``key``.  Runs are the sorted files of a table bucketed by
     ``fp``, so joining a batch with all of history moves nothing but the batch.
-    ``compact`` merges the runs into one once there are ``max_runs``.
+    ``compact`` merges the runs into one once there are ``max_runs``.  Which
+    documents hold fingerprints that occur twice in what one task read together
+    is kept beside the runs, as the same pass saw it: (key, fps).
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 32, max_runs: int = 8):
@@ -69,8 +71,10 @@ class FingerprintIndex:
         rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").mode("append").option("path", at).saveAsTable(name)
 
     def add(self, rows: DataFrame) -> None:
-        """Write a batch's rows as a new run."""
-        self._write(rows.select("fp", "key", "n"), self.name, self.at)
+        """Write what ``document_rows`` found, read once and written, as a new run."""
+        # What documents hold comes first: alone it only makes more candidates.
+        rows.where("size(fps) > 0").select("key", "fps").write.mode("append").parquet(f"{self.path}/twice")
+        self._write(rows.selectExpr("key", "inline(own)").select("fp", "key", "n"), self.name, self.at)
 
     def compact(self) -> None:
         """Merge all runs into one generation, then drop the old one."""
@@ -83,9 +87,11 @@ class FingerprintIndex:
         delete_path(self.spark, old)
 
     def repeated(self) -> DataFrame:
-        """(key, fp) of fingerprints that occur at two places or more, but once in their own task."""
+        """(key, fp) of fingerprints that occur at two places or more."""
         totals = self.rows().groupBy("fp").agg(F.sum("n").alias("total")).where("total >= 2").select("fp")
-        return self.rows().where("n = 1").join(totals.hint("merge"), "fp").select("key", "fp")
+        once = self.rows().where("n = 1").join(totals.hint("merge"), "fp").select("key", "fp")
+        twice = self.spark.read.schema("key bigint, fps array<bigint>").parquet(f"{self.path}/twice")
+        return once.unionByName(twice.select("key", F.explode("fps").alias("fp")))
 
 
 def _sliding(x: np.ndarray, width: int, combine) -> np.ndarray:
@@ -139,36 +145,30 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     return narrow.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), not odd
 
 
-def fingerprint_rows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(fp, key, n): one row for each fingerprint of what a task reads together."""
+def document_rows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Per document: words, digest of all of them, and fingerprints.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _slices(batches):
-            words = words_of(texts, SPACES)
-            at = _anchors(words, window, gram)
-            fp, first, n = np.unique(words.grams(gram)[0][at], return_index=True, return_counts=True)
-            of = words.text_of_word()[at[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(fp)), part.column(0).take(pa.array(of)), pa.array(n.astype(np.int32))], ["fp", "key", "n"])
-
-    return rows.select("key", "text").mapInArrow(run, "fp bigint, key bigint, n int")
-
-
-def _document_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """Per document: words, digest of all of them, fingerprints met twice by the task itself."""
+    ``own`` has (fp, n) for each fingerprint of what a task reads together that
+    occurs there n times, and first in this document; ``fps`` are the document's
+    fingerprints that occur there twice or more.  Only one and the same run of
+    this may give both: another may read other rows together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches):
             words = words_of(texts, SPACES)
             at = _anchors(words, window, gram)
             fp = words.grams(gram)[0][at]
-            _, inverse, n = np.unique(fp, return_inverse=True, return_counts=True)
+            _, first, inverse, n = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
             twice = n[inverse] > 1
-            offsets = np.searchsorted(at[twice], words.first)
+            lists = lambda chosen, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(at[chosen], words.first).astype(np.int32)), values)
+            order = np.argsort(first)
+            own = pa.StructArray.from_arrays([pa.array(signed(fp[first[order]])), pa.array(n[order].astype(np.int32))], ["fp", "n"])
             whole = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
-            local = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(fp[twice])))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(words.first)), pa.array(whole), local], ["key", "doc_id", "n_words", "whole_sha256", "fps"])
+            columns = [part.column(0), part.column(1), pa.array(np.diff(words.first)), pa.array(whole), lists(first[order], own), lists(twice, pa.array(signed(fp[twice])))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "n_words", "whole_sha256", "own", "fps"])
 
-    return rows.mapInArrow(run, "key bigint, doc_id bigint, n_words bigint, whole_sha256 string, fps array<bigint>")
+    return rows.mapInArrow(run, "key bigint, doc_id bigint, n_words bigint, whole_sha256 string, own array<struct<fp: bigint, n: int>>, fps array<bigint>")
 
 
 def _verify(candidates: DataFrame, window: int, gram: int) -> DataFrame:
@@ -271,18 +271,16 @@ def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame
     batch, _ = keyed(docs)
     earlier = None if history is None else keyed(history)[0]
     every = batch if earlier is None else batch.unionByName(earlier)
-    index.add(fingerprint_rows(batch, window, gram))
+    pass_at = fresh_path(spark, "fingerprinted")
+    document_rows(batch, window, gram).write.parquet(pass_at)
+    passed = spark.read.parquet(pass_at)
+    index.add(passed)
     if index.runs() > index.max_runs:
         index.compact()
+    per_doc = cut(passed.select("key", "doc_id", "n_words", "whole_sha256"))
+    delete_path(spark, pass_at)
     release(spark)
-    per_doc = cut(_document_rows(batch, window, gram))
-    local = per_doc if earlier is None else per_doc.unionByName(_document_rows(earlier, window, gram))
-    candidates = (
-        index.repeated()
-        .unionByName(local.select("key", F.explode("fps").alias("fp")))
-        .groupBy("key")
-        .agg(F.collect_set("fp").alias("fps"))
-    )
+    candidates = index.repeated().groupBy("key").agg(F.collect_set("fp").alias("fps"))
     at, name, n = fresh_path(spark, "candidates"), f"candidates_{uuid.uuid4().hex}", index.buckets
     # The texts move once: what is joined here is kept bucketed by key for the removal.
     every.select("key", "text").repartition(n, "key").join(candidates.hint("merge"), "key").select("key", "text", "fps").write.bucketBy(n, "key").format("parquet").option("path", at).saveAsTable(name)

@@ -119,6 +119,29 @@ def test_substring_dedup_in_batches(spark, corpus, tmp_path):
     assert index.generation == 1 and index.runs() == 1
 
 
+def test_substring_dedup_however_tasks_read(spark, tmp_path):
+    """Neighbours share passages; what tasks read together differs from one scan to another."""
+    from tessera.llm.substring_dedup import FingerprintIndex, new_index, substring_dedup
+
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [words(45) for _ in range(61)]
+    rows = [(i, f"{passages[i]} {words(20)} {passages[i + 1]}") for i in range(60)]
+    frame = lambda r, n: spark.createDataFrame(r, "doc_id long, text string").coalesce(1).repartition(n)
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        for most in (2000, 2600, 3300, 5100):
+            spark.conf.set(conf, most)
+            assert Counter(map(tuple, substring_dedup(frame(rows, 1), new_index(spark, 2)).collect())) == brute_substring(rows, 35)
+    finally:
+        spark.conf.unset(conf)
+    pair, late = rows[:2], [(100, f"{words(30)} {passages[1]}")]
+    index = FingerprintIndex(spark, str(tmp_path / "runs"), 2)
+    substring_dedup(frame(pair, 1), index)
+    got = substring_dedup(frame(late, 1), index, frame(pair, 2))
+    assert Counter(map(tuple, got.collect())) == brute_substring(late, 35, [t for _, t in pair])
+
+
 # --- op 9
 
 

@@ -9,6 +9,7 @@ has the largest dot product with the room that is left.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -159,18 +160,29 @@ class Packer:
             yield from self._pack(last=True)
 
 
-_TOKENIZERS: dict[tuple[str, str], tiktoken.Encoding] = {}
+_TOKENIZERS: dict[tuple[str, str, str | None], tiktoken.Encoding] = {}
 
 
-def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
-    if (path, pattern) not in _TOKENIZERS:
+def added_tokens(path: str | None) -> dict[str, int]:
+    """Ids of the strings that the tokenizer file ``path`` finds in texts before anything else."""
+    if path is None:
+        return {}
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens that depend on what surrounds them are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+def tokenizer(path: str, pattern: str, added: str | None = None) -> tiktoken.Encoding:
+    if (path, pattern, added) not in _TOKENIZERS:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _TOKENIZERS[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _TOKENIZERS[path, pattern]
+        _TOKENIZERS[path, pattern, added] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(added))
+    return _TOKENIZERS[path, pattern, added]
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), added: str | None = None) -> DataFrame:
     """Tokenize and pack all documents; one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
@@ -179,13 +191,14 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, li
     All ids of a document bear loss but its first.  sequence_id is unique over
     the table; a lost task repeats the same ids, as it reads the same rows.
 
-    A null or empty text is one id.  Strings of special tokens are ordinary
-    text.  Repeated rows are packed as often as they occur; a null doc_id stays
+    A null or empty text is one id.  The added tokens of the tokenizer file
+    ``added`` are found in texts and have their own ids; without it their strings
+    are ordinary text.  Repeated rows are packed as often as they occur; a null doc_id stays
     null; an empty table gives no rows; further columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path, pattern)
+        own = tokenizer(path, pattern, added)
         context = TaskContext.get()
         packer = Packer(limits, (context.partitionId() if context else 0) * PER_TASK)
         held: dict[int, tuple] = {}  # documents with ids that wait: doc_id, ids, ids not yet placed
@@ -204,7 +217,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, li
 
         for part, texts in slices(batches):
             for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                ids = np.array([*own.encode_ordinary(text), end_id], "<u4")
+                ids = np.array([*own.encode(text, allowed_special="all"), end_id], "<u4")
                 held[number] = (doc_id, ids, len(ids))
                 place(packer.add(number, len(ids), len(ids) - 1))
                 number += 1

@@ -39,8 +39,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The rank file holds the vocabulary of byte_bpe_50k.json; a test compares the ids.
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
+    # The rank file holds the vocabulary of byte_bpe_50k.json, but not its added tokens; a test compares the ids.
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=public_tokenizers.path("byte_bpe_50k.json")
+    ).drop("ids")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,6 +271,31 @@ def test_packing(spark, odd, none, corpus):
         assert limits != Limits() or padding <= 0.02 * total + 1
 
 
+def test_packing_finds_added_tokens(spark, tmp_path):
+    """Ids of the query and of the pipeline's stage as the json's tokenizer gives them by default."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.queries import op5_packing
+
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, end * 3, f"a{end}b  {end}\n\n{end} 's", f"<{end}>", "<|endoftext|", "<|ENDOFTEXT|> <|endof text|>", f"  {end}  it's", None, ""]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: [*theirs.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    assert want[0] == [31373, 220, 50256, 995, 1]
+    pieces = {i: b"" for i in want}
+    for r in sorted(corpus_pipeline.packed(spark, docs, str(tmp_path)).collect(), key=lambda r: r["start"]):
+        pieces[r["doc_id"]] += bytes(r["ids"])
+    assert pieces == {i: b"".join(x.to_bytes(4, "little") for x in ids) for i, ids in want.items()}
+    for r in op5_packing(spark, str(tmp_path)).collect():
+        raw = b"".join(x.to_bytes(4, "little") for x in want[r["doc_id"]][r["start"] : r["start"] + r["length"]])
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(want[r["doc_id"]]), zlib.crc32(raw))
+
+
 def test_pack_keeps_all_limits():
     import numpy as np
 

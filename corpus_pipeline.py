@@ -6,8 +6,10 @@ it kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, packing, pii, toxicity
@@ -21,18 +23,39 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
+def _judged_by_row(docs: DataFrame, first: Column, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` keeps by doc_id; rows of repeated or null ids are numbered, in the order ``first``, and judged by that."""
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return keep_ids(docs, judge(docs))
+    row, at = unused(docs, "row")["row"], fresh_path(docs.sparkSession, "rows")
+    docs.orderBy(first, F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id()).write.parquet(at)
+    rows = docs.sparkSession.read.parquet(at)
+    kept = judge(rows.select(F.col(row).alias("doc_id"), "text"))
+    result = cut(rows.join(kept.toDF(row), row, "left_semi").select(docs.columns))
+    delete_path(docs.sparkSession, at)
+    return result
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id (op 10)."""
-    index = exact_dedup.new_index(spark)
-    kept = cut(exact_dedup.exact_dedup(docs, index).where("kept").select("doc_id"))
-    delete_path(spark, index.path)
-    return keep_ids(docs, kept)
+    """Of equal texts one row, that with the largest doc_id (op 10)."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        index = exact_dedup.new_index(spark)
+        kept = cut(exact_dedup.exact_dedup(rows, index).where("kept").select("doc_id"))
+        delete_path(spark, index.path)
+        return kept
+
+    return _judged_by_row(docs, F.asc_nulls_first("doc_id"), judge)
 
 
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join the one with the smallest doc_id (op 9); those without words link with none."""
-    found = ngram_join.ngram_components(docs)
-    return keep_ids(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """Of documents that links join one row, that with the smallest doc_id (op 9); those without words link with none."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        found = ngram_join.ngram_components(rows)
+        return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+
+    return _judged_by_row(docs, F.asc_nulls_last("doc_id"), judge)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -516,6 +516,22 @@ def test_pipeline(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    """Repeated and null ids: rows are judged, not ids."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, c), (None, c), (None, a), (3, d), (3, d), (4, c + " more"), (5, None), (5, ""), (None, "e f"), (None, "g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(0)).repartition(3)
+    got = corpus_pipeline.distinct_texts(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = Counter((i, t or "") for i, t in rows_of(got))
+    assert kept == Counter([(1, a), (2, b), (None, c), (3, d), (4, c + " more"), (5, ""), (None, "e f"), (None, "g h")])
+    got = corpus_pipeline.near_distinct(spark, docs, "")
+    kept = Counter((i, t or "") for i, t in rows_of(got))
+    assert kept == Counter([(1, a), (1, b), (4, c + " more"), (3, d), (5, ""), (5, ""), (None, "e f"), (None, "g h")])
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

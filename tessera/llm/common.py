@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import gc
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import Storage
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ``bytes.translate`` table that lower-cases A-Z and leaves every other byte.
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -83,6 +86,57 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class BatchLog:
+    """Which attempts at which batches an index holds, as numbered files that are made once and whole.
+
+    An index writes the rows of a batch under a name of their own (an attempt)
+    and logs that name afterwards.  Rows of attempts that aren't logged don't
+    count, so what a lost driver left behind does no harm, and a batch that is
+    tried again after it was logged is judged by what came before it, as it was
+    the first time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.storage, self.path = Storage(spark), f"{path}/_batches"
+
+    def entries(self) -> list[dict]:
+        """Logged batches in order: batch, attempt."""
+        return [json.loads(self.storage.read(f"{self.path}/{n}")) for n in self.storage.names(self.path) if n.endswith(".json")]
+
+    def before(self, batch: str) -> list[str]:
+        """Attempts logged before ``batch``, all if it isn't logged yet."""
+        found = []
+        for e in self.entries():
+            if e["batch"] == batch:
+                break
+            found.append(e["attempt"])
+        return found
+
+    def attempt(self, batch: str) -> str | None:
+        return next((e["attempt"] for e in self.entries() if e["batch"] == batch), None)
+
+    def add(self, batch: str, attempt: str) -> None:
+        """Fails with ConcurrentModification if another batch takes the number at the same time."""
+        self.storage.make_folder(self.path)
+        at = f"{self.path}/{len(self.entries()) + 1:08d}.json"
+        self.storage.create(at, json.dumps({"batch": batch, "attempt": attempt}))
+
+
+def settled(spark: SparkSession, path: str, name: str, value: int) -> int:
+    """The number kept under ``name`` beside an index: ``value`` if there is none yet."""
+    storage, at = Storage(spark), f"{path}/_{name}.json"
+    if not storage.exists(at):
+        storage.make_folder(path)
+        storage.create(at, json.dumps(value))
+    return json.loads(storage.read(at))
+
+
+def buckets_for(df: DataFrame, bucket_bytes: int = 64 << 20, least: int = 32) -> int:
+    """Buckets of an index for data of the size of ``df``, by the optimizer's estimate."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(least, min(1 << 16, -(-size // bucket_bytes)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

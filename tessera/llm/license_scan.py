@@ -63,8 +63,8 @@ def template_places(spark, k: int = K, templates: dict[str, str] | None = None)
     return spark.createDataFrame(rows, "hash long, template string, at int, words int")
 
 
-def _phrases() -> list[tuple[np.ndarray, str]]:
-    return [(_words([p.encode()]).hashes, label) for p, label in PHRASES.items()]
+def _phrases() -> list[tuple[np.ndarray, list[bytes], str]]:
+    return [(_words([p.encode()]).hashes, p.encode().split(), label) for p, label in PHRASES.items()]
 
 
 def scan_rows(docs: DataFrame, k: int = K) -> DataFrame:
@@ -81,11 +81,12 @@ def scan_rows(docs: DataFrame, k: int = K) -> DataFrame:
             n_base = np.zeros(len(texts), np.int64)
             low, high = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), -1)
             labels: list[set[str]] = [set() for _ in texts]
-            for hashes, label in phrases:
+            for hashes, spelt, label in phrases:
                 at = np.flatnonzero(words.hashes == hashes[0])
                 at = at[at + len(hashes) <= end_of[at]]
                 for i in range(1, len(hashes)):
                     at = at[words.hashes[at + i] == hashes[i]]
+                at = at[np.array([all(words.word(j + i) == w for i, w in enumerate(spelt)) for j in at.tolist()], bool)]
                 doc = of[at]
                 place = at - words.first[doc]
                 np.add.at(n_base, doc, 1)

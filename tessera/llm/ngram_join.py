@@ -38,6 +38,9 @@ VERIFY_COST = 0.05
 RARE_PARTNERS = 0.2
 #: A shingle known to have more documents is dealt to as many tasks as hold so many each.
 SALT_ROWS = 100_000
+#: Shingles that a task counts together, and how often one of them must be among these to be reported: what
+#: is known of a shingle is too low by less than that for each so many shingles of the table, never too high.
+COUNTED, REPORTED = 1 << 21, 4
 #: Rounds of further leaders before what is left is joined whole.  They end early when they find little, and
 #: are not needed where lists hold at most so many pairs a row.
 CROWDED = 4
@@ -99,7 +102,8 @@ _FREQUENT_BIT = np.uint64(1) << np.uint64(63)
 class Order:
     """The global order: rare shingles by hash, then frequent ones by their number of documents."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, missed: int = 0):
+        self.missed = missed  # documents by which counts may be too low
         by = np.argsort(tokens)
         self.tokens, counts = tokens[by], counts[by]
         ranked = np.lexsort((self.tokens, counts))
@@ -119,11 +123,11 @@ class Order:
         return out
 
     def partners(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated further documents of shingles by their place in the order, and their known number of documents (else 0)."""
+        """Estimated further documents of shingles by their place in the order, and the most that known ones may have (else 0)."""
         docs = np.zeros(len(order), np.int64)
         known = order >= _FREQUENT_BIT
         docs[known] = self.count_of_rank[(order[known] ^ _FREQUENT_BIT).astype(np.int64)]
-        return np.where(known, docs - 1.0, RARE_PARTNERS), docs
+        return np.where(known, docs - 1.0, RARE_PARTNERS), np.where(known, docs + self.missed, 0)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -141,22 +145,40 @@ def _totals(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(rows: DataFrame, k: int) -> DataFrame:
-    """Per document: key, doc_id, n shingles, signature (s1, s2); and what its task saw in several documents (tokens, counts)."""
+    """Per document: key, doc_id, n shingles, signature (s1, s2); and what its task met often (tokens, counts).
+
+    A task counts COUNTED shingles at a time and reports those that it met
+    REPORTED times, with the row it has come to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+
+        def made(part: pa.RecordBatch, n, s1, s2, token, count) -> pa.RecordBatch:
+            at = np.zeros(len(part) + 1, np.int32)
+            at[1:] = len(token)  # counts travel with the first row
+            tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(signed(token)))
+            counts = pa.ListArray.from_arrays(pa.array(at), pa.array(count.astype(np.int64)))
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, s1, s2, tokens, counts], ["key", "doc_id", "n", "s1", "s2", "tokens", "counts"])
+
+        def often() -> tuple[np.ndarray, np.ndarray]:
+            token, count = np.unique(np.concatenate(held), return_counts=True)
+            return token[count >= REPORTED], count[count >= REPORTED]
+
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for part, texts in _slices(batches):
+            if last is not None:
+                yield made(*last, *none)
             grams, first, _ = shingle_sets(texts, k)
             s1, s2 = _totals(grams, first)
-            token, count = np.unique(grams, return_counts=True)
-            often = np.flatnonzero(count >= 4)
-            at = np.zeros(len(texts) + 1, np.int32)
-            at[1:] = len(often)  # the slice's counts travel with its first row
-            tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(signed(token[often])))
-            counts = pa.ListArray.from_arrays(pa.array(at), pa.array(count[often].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(signed(s1)), pa.array(signed(s2)), tokens, counts],
-                ["key", "doc_id", "n", "s1", "s2", "tokens", "counts"],
-            )
+            last = part.select(["key", "doc_id"]), pa.array(np.diff(first)), pa.array(signed(s1)), pa.array(signed(s2))
+            held.append(grams)
+            size += len(grams)
+            if size >= COUNTED:
+                yield made(*last, *often())
+                held, size, last = [], 0, None
+        if last is not None:
+            yield made(*last, *often())
 
     return rows.mapInArrow(run, "key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, tokens array<bigint>, counts array<bigint>")
 
@@ -173,7 +195,9 @@ def frequent_shingles(signed_rows: DataFrame) -> Order:
         .limit(FREQUENT)
         .collect()
     )
-    return Order(np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64))
+    met = signed_rows.agg(F.sum("n")).first()[0] or 0
+    missed = (REPORTED - 1) * (met // COUNTED + signed_rows.rdd.getNumPartitions())
+    return Order(np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64), missed)
 
 
 def choose_l(places: np.ndarray, first: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,8 +321,14 @@ def texts_of(rows: DataFrame, keys: DataFrame, at: str) -> DataFrame:
     return spark.read.schema("key bigint, text string").parquet(at)
 
 
+def spelt_sets(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """A text's shingles as words."""
+    words = text.translate(LOWER_TABLE).split()
+    return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)} if words else set()  # noqa: B905
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, shared, total, linked) of pairs of keys, by their whole sets."""
+    """(a, b, shared, total, linked) of pairs of keys, by their whole sets; those that link are compared word by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,6 +341,9 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
                 y, at_y, _ = shingle_sets(right, k)
                 shared = [len(np.intersect1d(x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]], assume_unique=True)) for i in range(len(left))]
                 total = np.diff(at_x) + np.diff(at_y) - np.array(shared)
+                for i in np.flatnonzero(100 * np.array(shared) >= percent * total).tolist():
+                    one, two = spelt_sets(left[i], k), spelt_sets(right[i], k)
+                    shared[i], total[i] = len(one & two), len(one | two)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
 
     one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))

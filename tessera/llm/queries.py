@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, bpe, exact_dedup, license_scan, ngram_join, packing, pii, substring_dedup, toxicity, warc
-from .common import cut, delete_path, fresh_path, table
+from .common import buckets_for, cut, delete_path, fresh_path, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +50,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = substring_dedup.new_index(spark)
-    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), index)
+    docs = table(spark, sf_dir, "documents")
+    index = substring_dedup.new_index(spark, buckets_for(docs), max_runs=2)  # so that three batches are compacted once
+    found = substring_dedup.dedup_in_batches(docs, index)
+    index.close()
     delete_path(spark, index.path)
     return found
 
@@ -65,7 +67,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.new_index(spark, buckets_for(docs))
+    found = exact_dedup.exact_dedup_in_batches(docs, index)
+    index.close()
+    delete_path(spark, index.path)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

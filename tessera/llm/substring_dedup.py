@@ -5,7 +5,7 @@ words is the window's fingerprint (winnowing): equal windows have equal
 fingerprints, and neighbouring windows mostly share one, so the index holds
 about two rows per ``window - gram + 2`` words.  Each batch is written as an
 immutable sorted run, merge-joined with the runs before it, and windows whose
-fingerprint occurs at two places are then verified by hashes of all their words.
+fingerprint occurs at two places are then verified by SHA-256 of their words.
 """
 
 from __future__ import annotations
@@ -20,78 +20,100 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, delete_path, fresh_path, release
-from .words import SPACES, Words, mix, signed, words_of
+from .common import BatchLog, cut, delete_path, fresh_path, release, settled
+from .words import SPACES, Words, signed, words_of
 
 WINDOW, GRAM = 35, 8
+BUCKETS = 32
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints: rows (fp, key, n).
+    """Sorted immutable runs of window fingerprints: rows (fp, key, n, attempt).
 
     A row says that ``fp`` occurs ``n`` times in what one task read together,
     first in document ``key``.  Runs are the sorted files of a table bucketed by
     ``fp``, so joining a batch with all of history moves nothing but the batch.
     ``compact`` merges the runs into one once there are ``max_runs``.  Which
     documents hold fingerprints that occur twice in what one task read together
-    is kept beside the runs, as the same pass saw it: (key, fps).
+    is kept beside the runs, as the same pass saw it: (key, fps, attempt).
+
+    ``path`` holds all there is, the number of buckets and the log of batches
+    too: opening it continues the index.  Rows of attempts that aren't logged
+    don't count, and compaction drops them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32, max_runs: int = 8):
-        self.spark, self.path, self.buckets, self.max_runs = spark, path, buckets, max_runs
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = at.getFileSystem(conf)
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        whole = [n for n in names if n.startswith("generation-") and self._fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, max_runs: int = 8):
+        self.spark, self.path, self.max_runs = spark, path, max_runs
+        self.buckets, self.log = settled(spark, path, "buckets", buckets), BatchLog(spark, path)
+        self._storage, self._names = self.log.storage, []
+        whole = [n for n in self._storage.names(path, folders=True) if n.startswith("generation-") and self._storage.exists(f"{path}/{n}/_SUCCESS")]
         self._open(max((int(n.split("-")[1]) for n in whole), default=0))
 
-    def _open(self, generation: int) -> None:
-        self.generation, self.name = generation, f"fingerprints_{uuid.uuid4().hex}"
-        self.at = f"{self.path}/generation-{generation}"
+    def _table(self, at: str) -> str:
+        name = f"fingerprints_{uuid.uuid4().hex}"
         self.spark.sql(
-            f"CREATE TABLE {self.name} (fp BIGINT, key BIGINT, n INT) USING parquet "
-            f"CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.at}'"
+            f"CREATE TABLE {name} (fp BIGINT, key BIGINT, n INT, attempt STRING) USING parquet "
+            f"CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{at}'"
         )
+        self._names.append(name)
+        return name
+
+    def _open(self, generation: int) -> None:
+        self.generation, self.at = generation, f"{self.path}/generation-{generation}"
+        self.name = self._table(self.at)
+
+    def _logged(self, rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("attempt").isin([e["attempt"] for e in self.log.entries()]))
 
     def rows(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+        return self._logged(self.spark.table(self.name))
 
     def runs(self) -> int:
         """Sorted files of the fullest bucket."""
-        files = [f.getPath().getName() for f in self._fs.listStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at)) if f.getPath().getName().startswith("part-")]
         counts: dict[str, int] = {}
-        for f in files:
-            bucket = f.rsplit("_", 1)[-1]
-            counts[bucket] = counts.get(bucket, 0) + 1
+        for f in self._storage.names(self.at):
+            if f.startswith("part-"):
+                bucket = f.rsplit("_", 1)[-1]
+                counts[bucket] = counts.get(bucket, 0) + 1
         return max(counts.values(), default=0)
 
     def _write(self, rows: DataFrame, name: str, at: str) -> None:
         rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").mode("append").option("path", at).saveAsTable(name)
 
-    def add(self, rows: DataFrame) -> None:
-        """Write what ``document_rows`` found, read once and written, as a new run."""
-        # What documents hold comes first: alone it only makes more candidates.
-        rows.where("size(fps) > 0").select("key", "fps").write.mode("append").parquet(f"{self.path}/twice")
-        self._write(rows.selectExpr("key", "inline(own)").select("fp", "key", "n"), self.name, self.at)
+    def add(self, rows: DataFrame, batch: str) -> None:
+        """Write what ``document_rows`` found, read once and written, as a new run; nothing if the batch is logged."""
+        if self.log.attempt(batch) is None:
+            attempt = uuid.uuid4().hex
+            own = F.lit(attempt).alias("attempt")
+            rows.where("size(fps) > 0").select("key", "fps", own).write.mode("append").parquet(f"{self.path}/twice")
+            self._write(rows.selectExpr("key", "inline(own)").select("fp", "key", "n", own), self.name, self.at)
+            self.log.add(batch, attempt)
+        if self.runs() > self.max_runs:
+            self.compact()
 
     def compact(self) -> None:
         """Merge all runs into one generation, then drop the old one."""
         # Read as plain files: known buckets would make Spark leave out the exchange that brings a bucket's runs together.
-        rows, old = self.spark.read.parquet(self.at), self.at
+        rows, old = self._logged(self.spark.read.parquet(self.at)), self.at
         new = f"{self.path}/generation-{self.generation + 1}"
         delete_path(self.spark, new)  # what an earlier attempt may have left
-        self._write(rows, f"fingerprints_{uuid.uuid4().hex}", new)
+        self._write(rows, self._table(new), new)
         self._open(self.generation + 1)
         delete_path(self.spark, old)
 
-    def repeated(self) -> DataFrame:
-        """(key, fp) of fingerprints that occur at two places or more."""
-        totals = self.rows().groupBy("fp").agg(F.sum("n").alias("total")).where("total >= 2").select("fp")
+    def repeated(self, batch: str | None = None) -> DataFrame:
+        """(key, fp) of fingerprints that occur at two places or more, if given only those that occur in this batch."""
+        totals = self.rows().groupBy("fp").agg(F.sum("n").alias("total"), F.max(F.col("attempt") == F.lit(self.log.attempt(batch) if batch else "")).alias("own")).where("total >= 2")
+        totals = (totals.where("own") if batch else totals).select("fp")
         once = self.rows().where("n = 1").join(totals.hint("merge"), "fp").select("key", "fp")
-        twice = self.spark.read.schema("key bigint, fps array<bigint>").parquet(f"{self.path}/twice")
-        return once.unionByName(twice.select("key", F.explode("fps").alias("fp")))
+        twice = self._logged(self.spark.read.schema("key bigint, fps array<bigint>, attempt string").parquet(f"{self.path}/twice")).select("key", F.explode("fps").alias("fp"))
+        return once.unionByName(twice.join(totals, "fp").select("key", "fp") if batch else twice)
+
+    def close(self) -> None:
+        """Forget the session's names for the index; its files stay."""
+        for name in self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _sliding(x: np.ndarray, width: int, combine) -> np.ndarray:
@@ -172,7 +194,10 @@ def document_rows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
 
 def _verify(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """Windows (h, check, key, start, n) of candidate fingerprints; n of them in this task, n = 0: known to be repeated."""
+    """Windows (h, check, key, start, n) of candidate fingerprints; n of them in this task, n = 0: known to be repeated.
+
+    h and check are 96 bits of SHA-256 of the window's words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches):
@@ -183,10 +208,10 @@ def _verify(candidates: DataFrame, window: int, gram: int) -> DataFrame:
             at = at[np.isin(prints[at], wanted)]
             if not len(at):
                 continue
-            h = words.grams(window)[0][at]
-            # The second hash takes the words' hashes in another order of magnitude: the two are independent.
-            again = Words(words.first, words.start, words.end, mix(words.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), b"", words.offset)
-            check = (again.grams(window)[0][at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            digests = b"".join([hashlib.sha256(x).digest()[:12] for x in words.sequences(at, window)])
+            parts = np.frombuffer(digests, "<u4").reshape(-1, 3)
+            h = (parts[:, 0].astype(np.uint64) << np.uint64(32)) | parts[:, 1]
+            check = parts[:, 2].astype(np.uint32).view(np.int32)
             order = np.lexsort((check, h))
             h, check, at = h[order], check[order], at[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])
@@ -253,41 +278,33 @@ def _remove(found: DataFrame, window: int) -> DataFrame:
     return found.select("key", "text", "starts").mapInArrow(run, "key bigint, n_removed bigint, kept_sha256 string")
 
 
-def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame | None = None, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Judge a batch against itself and against history, and add it to ``index``.
+def add_batch(rows: DataFrame, index: FingerprintIndex, batch: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Add ``rows`` (key, doc_id, text) to ``index`` as a batch; (key, doc_id, n_words, whole_sha256) of each."""
+    spark, at = rows.sparkSession, fresh_path(rows.sparkSession, "fingerprinted")
+    document_rows(rows, window, gram).write.parquet(at)
+    passed = spark.read.parquet(at)
+    index.add(passed, batch)
+    per_doc = cut(passed.select("key", "doc_id", "n_words", "whole_sha256"))
+    delete_path(spark, at)
+    release(spark)
+    return per_doc
 
-    Returns one row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
-    A word goes if a window of ``window`` consecutive words of one document
-    covers it whose word sequence also starts anywhere else: at another place of
-    the same document, in another row (a repeated row too), or in ``history``,
-    the documents of earlier batches, whose texts candidates are verified by.
 
-    A null text has no words, and an empty or short one no windows.  A null
-    doc_id is a document of its own.  Repeated rows are places of their own: of
-    a text of at least ``window`` words that occurs twice, nothing is kept.  An
-    empty table gives no rows.  Further columns are ignored.
+def judge(texts: DataFrame, per_doc: DataFrame, index: FingerprintIndex, batch: str | None = None, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Remove from the documents of ``per_doc`` what the index holds twice.
+
+    ``texts`` are (key, text) of all that the index holds; with ``batch`` only
+    what that batch shares is looked at.
     """
-    spark = docs.sparkSession
-    batch, _ = keyed(docs)
-    earlier = None if history is None else keyed(history)[0]
-    every = batch if earlier is None else batch.unionByName(earlier)
-    pass_at = fresh_path(spark, "fingerprinted")
-    document_rows(batch, window, gram).write.parquet(pass_at)
-    passed = spark.read.parquet(pass_at)
-    index.add(passed)
-    if index.runs() > index.max_runs:
-        index.compact()
-    per_doc = cut(passed.select("key", "doc_id", "n_words", "whole_sha256"))
-    delete_path(spark, pass_at)
-    release(spark)
-    candidates = index.repeated().groupBy("key").agg(F.collect_set("fp").alias("fps"))
-    at, name, n = fresh_path(spark, "candidates"), f"candidates_{uuid.uuid4().hex}", index.buckets
+    spark, n = texts.sparkSession, index.buckets
+    candidates = index.repeated(batch).groupBy("key").agg(F.collect_set("fp").alias("fps"))
+    at, name = fresh_path(spark, "candidates"), f"candidates_{uuid.uuid4().hex}"
     # The texts move once: what is joined here is kept bucketed by key for the removal.
-    every.select("key", "text").repartition(n, "key").join(candidates.hint("merge"), "key").select("key", "text", "fps").write.bucketBy(n, "key").format("parquet").option("path", at).saveAsTable(name)
+    texts.repartition(n, "key").join(candidates.hint("merge"), "key").select("key", "text", "fps").write.bucketBy(n, "key").format("parquet").option("path", at).saveAsTable(name)
     release(spark)
-    texts = spark.table(name)
-    starts = _repeated_windows(_verify(texts, window, gram)).groupBy("key").agg(F.collect_set("start").alias("starts"))
-    removed = cut(_remove(texts.select("key", "text").join(starts.hint("merge"), "key"), window).dropDuplicates(["key"]))
+    found = spark.table(name)
+    starts = _repeated_windows(_verify(found, window, gram)).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    removed = cut(_remove(found.select("key", "text").join(starts.hint("merge"), "key"), window).dropDuplicates(["key"]))
     release(spark)
     result = cut(
         per_doc.join(removed, "key", "left").select(
@@ -299,6 +316,44 @@ def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame
     return result
 
 
-def new_index(spark: SparkSession, buckets: int = 32) -> FingerprintIndex:
+def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame | None = None, window: int = WINDOW, gram: int = GRAM, batch: str | None = None) -> DataFrame:
+    """Add a batch to ``index`` and judge it against itself and against history.
+
+    Returns one row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
+    A word goes if a window of ``window`` consecutive words of one document
+    covers it whose word sequence also starts anywhere else: at another place of
+    the same document, in another row (a repeated row too), or in ``history``,
+    the documents of earlier batches.  Of these only documents that share a
+    fingerprint with the batch are read by words.
+
+    ``batch`` names the batch; one that is given again, because its driver
+    failed, isn't added twice.
+
+    A null text has no words, and an empty or short one no windows.  A null
+    doc_id is a document of its own.  Repeated rows are places of their own: of
+    a text of at least ``window`` words that occurs twice, nothing is kept.  An
+    empty table gives no rows.  Further columns are ignored.
+    """
+    batch = batch or uuid.uuid4().hex
+    rows, _ = keyed(docs)
+    per_doc = add_batch(rows, index, batch, window, gram)
+    texts = rows.select("key", "text")
+    if history is not None:
+        texts = texts.unionByName(keyed(history)[0].select("key", "text"))
+    return judge(texts, per_doc, index, batch, window, gram)
+
+
+def dedup_in_batches(docs: DataFrame, index: FingerprintIndex, batches: int = 3, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``substring_dedup`` of a whole table that reaches ``index`` in several batches and is judged when all are there."""
+    rows, _ = keyed(docs)
+    own = F.pmod(F.xxhash64("key"), F.lit(batches))
+    per_doc = None
+    for i in range(batches):
+        one = add_batch(rows.where(own == i), index, f"part {i}", window, gram)
+        per_doc = one if per_doc is None else per_doc.unionByName(one)
+    return judge(rows.select("key", "text"), per_doc, index, None, window, gram)
+
+
+def new_index(spark: SparkSession, buckets: int = BUCKETS, max_runs: int = 8) -> FingerprintIndex:
     """An empty index in the shared folder."""
-    return FingerprintIndex(spark, fresh_path(spark, "fingerprints"), buckets)
+    return FingerprintIndex(spark, fresh_path(spark, "fingerprints"), buckets, max_runs)

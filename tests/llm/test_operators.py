@@ -605,3 +605,126 @@ def test_audio_plays_all_values(spark):
     assert [len(heard[i]) for i in (1, 2, 3, 4)] == [64 * audio.RATE // 4] * 2 + [0, 0]
     prints = {r["id"]: r["codes"] for r in audio.fingerprints(audio.render(vectors), "vec_id", "audio").collect()}
     assert prints[1] != prints[2]
+
+
+# --- words that differ but were made to collide, and batches that come again
+
+
+def thue_morse(n, a, b):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out[:n]
+
+
+def test_words_made_to_collide(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes; operators tell them apart."""
+    from tessera.llm.license_scan import license_scan
+    from tessera.llm.ngram_join import ngram_components
+    from tessera.llm.substring_dedup import new_index, substring_dedup
+    from tessera.llm.words import words_of
+
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    assert len(set(words_of([f"{one} {two}".encode()]).hashes.tolist())) == 2
+    rest = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*rest[:30], one, *rest[30:]])), (2, " ".join([*rest[:30], two, *rest[30:]])), (3, one), (4, two), (5, one + " x"), (6, f"{one} {one}"), (7, f"{one} {two}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, substring_dedup(docs, new_index(spark, 2)).collect())) == brute_substring(rows, 35)
+    assert Counter(map(tuple, ngram_components(docs).collect())) == brute_components(rows)
+    got = license_scan(docs).collect()
+    assert all(r["n_base"] == 0 for r in got)
+
+
+def test_short_words_have_hashes_of_their_own():
+    from tessera.llm.words import words_of
+
+    words = {bytes(random.choice(b"\x00\x01ab\xc3\xa9") for _ in range(random.randint(1, 9))) for _ in range(3000)} | {b"\x00" * n for n in range(1, 12)}
+    words = sorted(words)
+    found = words_of([b" ".join(words)])
+    assert [found.word(i) for i in range(len(words))] == words and len(set(found.hashes.tolist())) == len(words)
+
+
+def test_exact_dedup_again(spark, tmp_path):
+    """A batch that comes again is judged as the first time, also after later ones; leftovers of lost attempts don't count."""
+    from tessera.llm.exact_dedup import DigestIndex, exact_dedup
+
+    frame = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
+    path = str(tmp_path / "index")
+    index = DigestIndex(spark, path, 4)
+    first, second = frame((1, "a"), (2, "b")), frame((3, "a"), (4, "c"), (5, "C"))
+    judged = lambda docs, batch, own=None: sorted((r["doc_id"], r["keep_id"], r["seen"], r["kept"]) for r in exact_dedup(docs, own or index, batch).collect())
+    lost = spark.createDataFrame([(bytearray(hashlib.sha256(b"a").digest()), 77, "nobody")], "digest binary, keep_id long, attempt string")
+    lost.write.bucketBy(4, "digest").sortBy("digest").format("parquet").mode("append").option("path", index.at).saveAsTable(index.name)
+    one = judged(first, "one")
+    assert one == [(1, 1, False, True), (2, 2, False, True)] == judged(first, "one")
+    two = judged(second, "two")
+    assert two == [(3, 1, True, False), (4, 5, False, False), (5, 5, False, True)]
+    assert judged(first, "one") == one and judged(second, "two", DigestIndex(spark, path)) == two
+    assert index.rows().count() == 3 and DigestIndex(spark, path, 99).buckets == 4
+    index.close()
+
+
+def test_exact_dedup_in_batches(spark, odd, none, corpus):
+    from tessera.llm.exact_dedup import exact_dedup_in_batches, new_index
+
+    for df in (odd, none, corpus):
+        rows, index = rows_of(df), new_index(spark, 4)
+        got = exact_dedup_in_batches(df, index).collect()
+        groups = {}
+        for doc_id, text in rows:
+            groups.setdefault((text or "").translate(LOWER), []).append(doc_id)
+        top = lambda ids: max((i for i in ids if i is not None), default=None)
+        want = Counter((i, hashlib.sha256(t.encode()).digest(), top(ids), len(ids)) for t, ids in groups.items() for i in ids)
+        assert Counter((r["doc_id"], bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in got) == want
+        assert sum(r["kept"] for r in got) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+        assert len(index.log.entries()) == (3 if rows else 1)
+
+
+def test_substring_dedup_of_batches_together(spark, odd, none, corpus):
+    from tessera.llm.substring_dedup import dedup_in_batches, new_index
+
+    for df in (odd, none, corpus):
+        index = new_index(spark, 4, max_runs=2)
+        got = dedup_in_batches(df, index)
+        assert Counter(map(tuple, got.collect())) == brute_substring(rows_of(df), 35)
+        assert len(index.log.entries()) == 3 and index.generation == (1 if rows_of(df) else 0)
+        index.close()
+
+
+def test_substring_dedup_again(spark, corpus, tmp_path):
+    """A batch that comes again isn't a repetition of itself."""
+    from tessera.llm.substring_dedup import FingerprintIndex, substring_dedup
+
+    rows = sorted(rows_of(corpus))
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    index = FingerprintIndex(spark, str(tmp_path / "runs"), 2, max_runs=1)
+    substring_dedup(frame(rows[:90]), index, batch="one")
+    for _ in range(2):
+        got = substring_dedup(frame(rows[90:]), index, frame(rows[:90]), batch="two")
+        assert Counter(map(tuple, got.collect())) == brute_substring(rows[90:], 35, [t for _, t in rows[:90]])
+    assert index.generation == 1 and len(index.log.entries()) == 2
+
+
+def test_ngram_counts_of_medium_frequency(spark, monkeypatch):
+    """A shingle that no batch of a task holds often is counted over the task, and its list is split."""
+    from tessera.llm import ngram_join
+    from tessera.llm.substring_dedup import keyed
+
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = [(i, " ".join([*(word() for _ in range(4)), *(["once", "upon", "a", "time", "there"] if i % 5 == 0 else []), word(), word()])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        order = ngram_join.frequent_shingles(ngram_join.signatures(keyed(docs)[0], 5))
+        assert order.count_of_rank.tolist() == [80] and order.missed == 3
+        monkeypatch.setattr(ngram_join, "SALT_ROWS", 20)
+        shown = ngram_join.prefixes(keyed(docs)[0], order, 5, 1)  # one shingle is enough to link: all are shown
+        lists = shown.where(F.col("token") == int(order.tokens.view("int64")[0])).groupBy("salt").count().collect()
+        assert len(lists) == 5 and all(r["salt"] > 0 and r["count"] < 40 for r in lists)
+        monkeypatch.setattr(ngram_join, "COUNTED", 100)  # what is reported is never too high, and too low by ``missed`` at most
+        fewer = ngram_join.frequent_shingles(ngram_join.signatures(keyed(docs)[0], 5))
+        known = int(fewer.count_of_rank[0]) if len(fewer.count_of_rank) else 0
+        assert known <= 80 <= known + fewer.missed
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -133,7 +133,7 @@ def settled(spark: SparkSession, path: str, name: str, value: int) -> int:
 
 def buckets_for(df: DataFrame, bucket_bytes: int = 64 << 20, least: int = 32) -> int:
     """Buckets of an index for data of the size of ``df``, by the optimizer's estimate."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(1 << 16, -(-size // bucket_bytes)))
 
 

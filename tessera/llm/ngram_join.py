@@ -234,7 +234,8 @@ def prefixes(rows: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
             at = np.repeat(first[:-1], shown) + np.arange(shown.sum()) - np.repeat(np.cumsum(shown) - shown, shown)
             of = np.repeat(np.arange(len(n)), shown)
             parts = np.maximum(1, -(-docs[at] // SALT_ROWS))
-            salt = (mix(of.astype(np.uint64) + grams[at]) % parts.astype(np.uint64)).astype(np.int32)
+            keys = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            salt = (mix(keys[of] ^ mix(grams[at])) % parts.astype(np.uint64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(grams[at])), pa.array(np.where(parts > 1, salt + 1, 0).astype(np.int32)), part.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(level[of].astype(np.int32)), pa.array((at - first[of]).astype(np.int32))],
                 ["token", "salt", "key", "n", "l", "p"],

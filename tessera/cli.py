@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import glob
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import TableError
+from .errors import InvalidFile, TableError
 from .operators.catalog import FolderCatalog
 from .operators.compact import CompactOptions, compact_table, plan_compaction, plan_totals
-from .operators.register import RegisterOptions, parse_values, partition_summary, register
+from .operators.register import RegisterOptions, parse_values, partition_summary, register, upload
 from .operators.retention import DAY_MS, RetentionOptions, expire, plan_retention
 from .operators.table import ADD_FIELDS, REJECT
 
@@ -91,9 +93,18 @@ def parser() -> argparse.ArgumentParser:
     commit.add_argument("--partition-values", default="")
     commit.add_argument("--add-fields", action="store_true")
     commit.add_argument("--allow-noop", action="store_true")
+    commit.add_argument("--upload", action="store_true", help="copy local files into the table's data folder first")
     return top
 
 
+def local_files(pattern: str) -> list[str]:
+    """Parquet files on this machine that a path or glob names."""
+    found = [f for p in glob.glob(pattern) for f in ([p] if os.path.isfile(p) else glob.glob(f"{glob.escape(p)}/**/*.parquet", recursive=True))]
+    if not found:
+        raise InvalidFile(f"no Parquet files match {pattern}")
+    return sorted(os.path.abspath(f) for f in found)
+
+
 def run(spark: SparkSession, argv: list[str]) -> str:
     """Do what ``argv`` says; returns what is printed."""
     a = parser().parse_args(argv)
@@ -109,7 +120,8 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.group == "table" and a.action == "list":
         return say(catalog.list_tables(a.namespace))
     if a.group == "commit":
-        done = register(catalog, a.table, a.pattern, RegisterOptions(not a.create, ADD_FIELDS if a.add_fields else REJECT, a.allow_noop), a.partition_spec, parse_values(a.partition_values) or None)
+        pattern = [upload(catalog.load_table(a.table), p) for p in local_files(a.pattern)] if a.upload else a.pattern
+        done = register(catalog, a.table, pattern, RegisterOptions(not a.create, ADD_FIELDS if a.add_fields else REJECT, a.allow_noop), a.partition_spec, parse_values(a.partition_values) or None)
         summary = [] if done.snapshot is None else [r.asDict() for r in partition_summary(catalog.load_table(a.table).files_with_stats().where(F.coalesce("snapshot_id", F.lit(0)) == done.snapshot.snapshot_id)).collect()]
         return say({"added_files": done.added_files, "added_records": done.added_records, "skipped": done.skipped, "snapshot": done.snapshot and done.snapshot.snapshot_id, "partitions": summary})
     table = catalog.load_table(a.table)

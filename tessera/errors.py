@@ -1,5 +1,7 @@
 """Errors of the table layer; each kind is a class, so callers can catch what they handle."""
 
+import re
+
 
 class TableError(Exception):
     """Base of all errors of this library."""
@@ -67,3 +69,10 @@ class Unauthorized(TableError):
 
 class RemoteFailure(TableError):
     """A remote catalog or store failed."""
+
+
+def from_worker(why: Exception) -> Exception:
+    """The error of this library that a Python worker raised, if it is one; else ``why``."""
+    found = re.search(r"tessera\.errors\.(\w+): ([^\n]*)", str(why))
+    kind = globals().get(found[1]) if found else None
+    return kind(found[2]) if isinstance(kind, type) and issubclass(kind, TableError) else why

@@ -62,13 +62,13 @@ class Transaction:
         while snapshot_id in taken:
             snapshot_id = secrets.randbits(62) + 1
         sequence = meta.last_sequence_number + 1
-        written = []
+        written, published = [], False
 
         def write(rows: DataFrame, sequence_number: int, owner: int) -> dict | None:
             """One manifest, or nothing for no rows; its totals are read back from what was written."""
             at = f"{meta.location}/metadata/manifest-{uuid.uuid4()}"
-            rows.write.parquet(at)
             written.append(at)
+            rows.withColumn("manifest", F.lit(at)).write.parquet(at)
             counts = {r["status"]: r for r in table.spark.read.parquet(at).groupBy("status").agg(F.count("*").alias("files"), F.sum("record_count").alias("rows"), F.sum("file_size_in_bytes").alias("bytes")).collect()}
             if not counts:
                 storage.delete(written.pop())
@@ -103,6 +103,8 @@ class Transaction:
                 )
                 if fresh := write(rest, m["sequence-number"], m["added-snapshot-id"]):
                     replaced.append(fresh)
+            if self.dropped and deleted["files"] != wanted:
+                raise ConcurrentModification(f"{wanted} files are to be replaced, {deleted['files']} were found")
             added = {"files": 0, "rows": 0, "bytes": 0}
             if self.added:
                 rows = self._union(self.added).withColumns({"status": F.lit(ADDED), "snapshot_id": F.lit(snapshot_id), "sequence_number": F.lit(sequence)})
@@ -122,9 +124,17 @@ class Transaction:
             written.append(listing)
             now = timestamp_ms if timestamp_ms is not None else int(time.time() * 1000)
             made = Snapshot(snapshot_id, parent.snapshot_id if parent else None, sequence, now, listing, {k: str(v) for k, v in (facts | summary).items()}, meta.current_schema_id)
-            table.adopt(table.catalog.replace_metadata(table, meta.with_snapshot(made)))
+            new = meta.with_snapshot(made)
+            published = True  # unless it turns out that another came first, nobody can tell from here on
+            try:
+                path = table.catalog.replace_metadata(table, new)
+            except ConcurrentModification:
+                published = False
+                raise
+            table.metadata, table.metadata_path = new, path
             return made
         except Exception:
-            for at in written:  # nothing refers to them
-                storage.delete(at)
+            if not published:  # nothing refers to what was written
+                for at in written:
+                    storage.delete(at)
             raise

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CompactionFailed, InvalidInput
 from ..plans.persist import once
-from ..sources.footer import introspect, partition_key_column
-from .table import Table, by_name
+from ..sources.footer import footer_tasks, introspect, partition_key_column
+from .table import Table, by_name, plain_column
 
 MIB = 1 << 20
 
@@ -40,17 +41,20 @@ class CompactOptions:
                 raise InvalidInput(why)
 
 
+#: Files of a partition that one task packs; those of larger ones are dealt to several by their paths.
+FILES_A_TASK = 100_000
+
+
 def first_fit(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each size, taken in the given order: the first bin with room."""
-    room: list[int] = []
-    out = []
+    """The bin of each of ascending sizes: the first with room, which only the newest can have."""
+    out, room = [], 0
     for size in sizes:
-        at = next((i for i, left in enumerate(room) if size <= left), None)
-        if at is None:
-            at = len(room)
-            room.append(capacity)
-        room[at] -= size
-        out.append(at)
+        if not out or size > room:
+            out.append(out[-1] + 1 if out else 0)
+            room = capacity
+        else:
+            out.append(out[-1])
+        room -= size
     return out
 
 
@@ -65,14 +69,17 @@ def plan_compaction(files: DataFrame, options: CompactOptions = CompactOptions()
     small = files.select("file_path", "file_size_in_bytes", partition_key_column(F.col("file_path")).alias("partition_key")).where(F.col("file_size_in_bytes") < options.max_input_bytes)
     if options.partition is not None:
         small = small.where(F.col("partition_key") == options.partition)
+    shares = small.groupBy("partition_key").agg(F.ceil(F.count(F.lit(1)) / FILES_A_TASK).alias("shares"))
+    dealt = small.join(shares, "partition_key").select("file_path", "file_size_in_bytes", "partition_key", F.pmod(F.xxhash64("file_path"), "shares").alias("share"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["file_size_in_bytes", "file_path"])
         frame = frame.assign(group_id=first_fit(frame["file_size_in_bytes"].tolist(), capacity))
-        return frame[frame.groupby("group_id")["file_path"].transform("size") >= least]
+        frame = frame[frame.groupby("group_id")["file_path"].transform("size") >= least]
+        return frame.assign(group_id=frame["group_id"] + frame["share"] * FILES_A_TASK).drop(columns="share")
 
     schema = "file_path string, file_size_in_bytes bigint, partition_key string, group_id bigint"
-    return small.groupBy("partition_key").applyInPandas(pack, schema).select("partition_key", "group_id", "file_path", "file_size_in_bytes")
+    return dealt.groupBy("partition_key", "share").applyInPandas(pack, schema).select("partition_key", "group_id", "file_path", "file_size_in_bytes")
 
 
 def plan_totals(plan: DataFrame, options: CompactOptions = CompactOptions()) -> DataFrame:
@@ -91,49 +98,72 @@ class Compacted:
 
 
 def compact_table(table: Table, options: CompactOptions = CompactOptions(), timestamp_ms: int | None = None) -> Compacted:
-    """Rewrite small files, one snapshot a partition; each group becomes one file with the table's columns."""
+    """Rewrite small files; each group becomes one file with the table's columns.
+
+    One job writes all groups, a task each, and one snapshot replaces their
+    files.  If that fails and partial results are allowed, partitions are tried
+    one by one.
+    """
     if table.metadata.current is None:
         return Compacted(0, 0, 0)
     live = table.files_with_stats()
     plan = once(plan_compaction(live, options))
-    groups = [(r["partition_key"], r["group_id"]) for r in plan.select("partition_key", "group_id").distinct().orderBy("partition_key", "group_id").collect()]
+    groups = plan.select("partition_key", "group_id").distinct().count()
     n_in = plan.count()
     if not groups or options.dry_run:
-        return Compacted(len(groups), n_in, len(groups) if options.dry_run else 0)
-    by_key: dict[str, list[int]] = {}
-    for key, group in groups:
-        by_key.setdefault(key, []).append(group)
+        return Compacted(groups, n_in, groups)
+    try:
+        _replace(table, plan, timestamp_ms)
+        return Compacted(groups, n_in, groups)
+    except Exception as why:
+        if not options.allow_partial:
+            raise CompactionFailed(str(why)) from why
     failed, done_groups, done_files = [], 0, 0
-    for key, ids in by_key.items():
+    for key, n in plan.groupBy("partition_key").agg(F.countDistinct("group_id")).orderBy("partition_key").collect():
+        members = plan.where(F.col("partition_key") == key)
         try:
-            made, members = [], plan.where(F.col("partition_key") == key)
-            for group in ids:
-                made.append(_rewrite(table, [r[0] for r in members.where(F.col("group_id") == group).orderBy("file_path").select("file_path").collect()], key))
-            new = made[0]
-            for other in made[1:]:
-                new = new.unionByName(other)
-            table.refresh()
-            table.transaction().rewrite(members, new).commit(timestamp_ms)
-            done_groups, done_files = done_groups + len(ids), done_files + members.count()
-        except Exception as why:
-            if not options.allow_partial:
-                raise CompactionFailed(f"partition {key!r}: {why}") from why
+            _replace(table, members, timestamp_ms)
+            done_groups, done_files = done_groups + n, done_files + members.count()
+        except Exception:
             failed.append(key)
     return Compacted(done_groups, done_files, done_groups, tuple(failed))
 
 
-def _rewrite(table: Table, paths: list[str], key: str) -> DataFrame:
-    """One file out of many, and its inventory row."""
+def _replace(table: Table, plan: DataFrame, timestamp_ms: int | None) -> None:
+    table.refresh()
+    table.transaction().rewrite(plan, _rewrite(table, plan)).commit(timestamp_ms)
+
+
+def _rewrite(table: Table, plan: DataFrame) -> DataFrame:
+    """Inventory rows of new files, one for each group of ``plan``."""
+    spark, storage, location = table.spark, table.catalog.storage, table.metadata.location
+    order = Window.orderBy("partition_key", "group_id")  # a row a group
+    facts = plan.join(table.files_with_stats().select("file_path", "partition", "record_count"), "file_path").groupBy("partition_key", "group_id")
+    facts = facts.agg(F.count(F.lit(1)).alias("files"), F.sum("record_count").alias("records"), F.min_by("partition", "file_path").alias("partition"))
+    groups = once(facts.withColumn("number", (F.row_number().over(order) - 1).cast("int")))
+    number_of = once(plan.join(groups, ["partition_key", "group_id"]).select("file_path", "number"))
     struct = table.schema.spark()
-    rows = table.spark.read.schema(by_name(table.schema)).parquet(*paths)
-    rows = rows.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in struct.fields))
-    base = f"{table.metadata.location}/data" + (f"/{key}" if key else "")
-    draft = f"{table.metadata.location}/data/draft-{uuid.uuid4()}"
-    rows.coalesce(1).write.parquet(draft)
-    part = next(n for n in table.catalog.storage.names(draft) if n.endswith(".parquet"))
-    final = f"{base}/compacted_{uuid.uuid4()}_from_{len(paths)}_files.parquet"
-    table.catalog.storage.move(f"{draft}/{part}", final)
-    table.catalog.storage.delete(draft)
-    values = table.files_with_stats().where(F.col("file_path") == paths[0]).select("partition").first()[0]
-    one = table.spark.createDataFrame([(final, values)], "file_path string, partition map<string,string>")
-    return once(introspect(one, table.schema))
+    rows = spark.read.schema(by_name(table.schema)).parquet(*(r[0] for r in number_of.select("file_path").collect()))
+    at = plain_column(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    names = {f.name: f"c{i}" for i, f in enumerate(struct.fields)}  # whatever the columns are called
+    rows = rows.select(at.alias("file_path"), *(F.col(f"`{f.name}`").alias(names[f.name]) for f in struct.fields)).join(number_of, "file_path")
+    n = groups.count()
+    draft = f"{location}/data/draft-{uuid.uuid4()}"
+    rows.repartitionById(n, F.col("number")).select(*(F.col(names[f.name]).alias(f.name, metadata=f.metadata) for f in struct.fields)).write.option("maxRecordsPerFile", 0).parquet(draft)
+    parts = {int(name.split("-")[1]): name for name in storage.names(draft) if name.endswith(".parquet")}
+    made = []
+    for r in groups.collect():
+        if r["number"] in parts:
+            base = f"{location}/data" + (f"/{r['partition_key']}" if r["partition_key"] else "")
+            made.append((f"{draft}/{parts[r['number']]}", f"{base}/compacted_{uuid.uuid4()}_from_{r['files']}_files.parquet", r["partition"]))
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda m: storage.move(m[0], m[1]), made))
+    storage.delete(draft)
+    paths = spark.createDataFrame([m[1:] for m in made], "file_path string, partition map<string,string>")
+    written = once(introspect(paths.repartition(footer_tasks(len(made))), table.schema))
+    before, after = groups.agg(F.sum("records")).first()[0], written.agg(F.sum("record_count")).first()[0]
+    if before != (after or 0):
+        for _, final, _ in made:
+            storage.delete(final)
+        raise CompactionFailed(f"{before} rows became {after}")
+    return written.where("record_count > 0")

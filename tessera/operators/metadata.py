@@ -47,10 +47,13 @@ class Metadata:
 
     @property
     def schema(self) -> Schema:
+        return self.schema_of(self.current_schema_id)
+
+    def schema_of(self, schema_id: int) -> Schema:
         for s in self.schemas:
-            if s.schema_id == self.current_schema_id:
+            if s.schema_id == schema_id:
                 return s
-        raise InvalidMetadata(f"no schema {self.current_schema_id}")
+        raise InvalidMetadata(f"no schema {schema_id}")
 
     @property
     def current(self) -> Snapshot | None:

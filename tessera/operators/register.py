@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import IncompatibleSchema, InvalidInput, InvalidPartition, NotFound, NothingRegistered
-from ..functions.transforms import PartitionField, Transform
+from ..errors import IncompatibleSchema, InvalidInput, InvalidPartition, NotFound, NothingRegistered, from_worker
+from ..functions.transforms import PartitionField, Transform, parse_spec
 from ..plans.persist import once
-from ..sources.footer import expand, footer_schema, footer_tasks, hive_values, introspect, is_local_path, partition_key, typed_values
-from ..types import Schema, same_type
+from ..sources.footer import FILES, expand, footer_schema, footer_tasks, introspect, is_local_path, partition_key, values_by_spec
+from ..types import Schema, compatible, merge, new_fields, same_type
 from .metadata import Snapshot
 from .table import ADD_FIELDS, REJECT, Table, plain_column
 
@@ -67,15 +69,9 @@ def parse_identity_spec(text: str, schema: Schema) -> tuple[PartitionField, ...]
     return tuple(fields)
 
 
-def values_for(table: Table, path: str, explicit: dict[str, str] | None = None) -> dict[str, str]:
-    """Partition values of a file: given ones before those of its folders; all fields must have one that fits."""
-    found = hive_values(path) | (explicit or {})
-    types = {f.name: f.transform.kind if f.transform.kind in ("year", "month", "day", "hour") else _plain_type(table.schema, f) for f in table.spec}
-    for name in types:
-        if name not in found:
-            raise InvalidPartition(f"missing partition segment {name!r} in {path}")
-    typed_values({k: found[k] for k in types}, types)
-    return {k: found[k] for k in types}
+def value_types(schema: Schema, spec: tuple[PartitionField, ...]) -> dict[str, str]:
+    """What the partition values in paths must be."""
+    return {f.name: f.transform.kind if f.transform.kind in ("year", "month", "day", "hour") else _plain_type(schema, f) for f in spec}
 
 
 def _plain_type(schema: Schema, field: PartitionField) -> str:
@@ -85,63 +81,108 @@ def _plain_type(schema: Schema, field: PartitionField) -> str:
     return source.type if source and source.type in ("int", "long", "boolean", "date") else "string"
 
 
-def register(catalog, identifier: str, pattern: str, options: RegisterOptions = RegisterOptions(), spec=(), explicit: dict[str, str] | None = None, timestamp_ms: int | None = None) -> Registered:
+#: Different schemas that one registration may meet; each is looked at on the driver.
+SCHEMAS = 1000
+
+
+def register(catalog, identifier: str, pattern: str | list[str], options: RegisterOptions = RegisterOptions(), spec=(), explicit: dict[str, str] | None = None, timestamp_ms: int | None = None) -> Registered:
     """Register the Parquet files that a path or glob names; files that are in the table already are skipped.
 
     The first file's columns make the table if it isn't there and may be made.
-    Only footers are read.  With nothing new it is an error, or with
+    Every file must have the table's columns, or with the policy of adding
+    fields columns of the same types; if one hasn't, nothing is registered or
+    made.  Only footers are read.  With nothing new it is an error, or with
     ``allow_noop`` a result of zeros.
     """
     spark = catalog.spark
-    check_absolute(pattern)
-    paths = once(expand(spark, pattern).select(plain_column("file_path").alias("file_path")))
-    sample = paths.orderBy("file_path").first()[0]
-    incoming = Schema.of(footer_schema(spark, sample))
-    created = False
-    if catalog.table_exists(identifier):
-        table = catalog.load_table(identifier)
-    elif options.fail_if_missing:
+    for one in [pattern] if isinstance(pattern, str) else pattern:
+        check_absolute(one)
+    paths = once(expand(spark, pattern).select(plain_column("file_path").alias("file_path")).distinct())
+    table = catalog.load_table(identifier) if catalog.table_exists(identifier) else None
+    if table is None and options.fail_if_missing:
         raise NotFound(identifier)
+    known = table.files().select("file_path") if table is not None and table.metadata.current else paths.limit(0)
+    fresh = once(paths.join(known, "file_path", "left_anti"))
+    total, n_fresh = paths.count(), fresh.count()
+    sample = (fresh if n_fresh else paths).orderBy("file_path").first()[0]
+    first = Schema.of(footer_schema(spark, sample))
+    schema = first if table is None else merge(table.schema, first) if options.policy == ADD_FIELDS and new_fields(table.schema, first) else table.schema
+    if table is not None:
+        fields = table.spec
     else:
+        fields = parse_identity_spec(spec, first) if isinstance(spec, str) and ":" in spec else parse_spec(spec) if isinstance(spec, str) else tuple(spec)
+    wanted = _with_values(value_types(schema, fields), fresh, explicit).repartition(footer_tasks(n_fresh))
+    try:
+        files = once(introspect(wanted, schema, columns=True))
+    except Exception as why:
+        raise from_worker(why) from why
+    kinds = files.groupBy("columns").agg(F.min("file_path").alias("path")).limit(SCHEMAS + 1).collect()
+    if len(kinds) > SCHEMAS:
+        raise IncompatibleSchema(f"files of more than {SCHEMAS} different schemas")
+    merged = schema
+    for own in [first] if not kinds else [Schema.of(footer_schema(spark, r["path"])) for r in sorted(kinds, key=lambda r: r["path"])]:
+        if options.policy != ADD_FIELDS:
+            check_files_match(schema, own)
+        elif not compatible(merged, own):
+            raise IncompatibleSchema("a column has another type in the table")
+        elif new_fields(merged, own):
+            merged = merge(merged, own)
+    if new_fields(schema, merged):  # a later file brought columns of its own: their counts need the ids that they have now
+        files = once(introspect(wanted, merged, columns=True))
+    created = table is None
+    if created:
         from .catalog import parse_identifier
 
         catalog.create_namespace(".".join(parse_identifier(identifier)[0]), exist_ok=True)
-        fields = parse_identity_spec(spec, incoming) if isinstance(spec, str) and ":" in spec else spec
-        table, created = catalog.create_table(identifier, incoming, fields), True
-    if options.policy == ADD_FIELDS:
-        table.evolve(incoming, ADD_FIELDS)
-    else:
-        check_files_match(table.schema, incoming)
-    known = table.files().select("file_path") if table.metadata.current else paths.limit(0)
-    fresh = once(paths.distinct().join(known, "file_path", "left_anti"))
-    total, n_fresh = paths.select("file_path").distinct().count(), fresh.count()
+        table = catalog.create_table(identifier, replace(merged, schema_id=1), fields)
+    elif new_fields(table.schema, merged):
+        table.evolve(merged, ADD_FIELDS)
     if not n_fresh:
         if not options.allow_noop:
             raise NothingRegistered(f"all {total} files are in {identifier} already")
         return Registered(0, 0, total, None, created)
-    files = once(introspect(_with_values(table, fresh, explicit).repartition(footer_tasks(n_fresh)), table.schema))
-    snapshot = table.transaction().append(files).commit(timestamp_ms)
+    snapshot = table.transaction().append(files.drop("columns")).commit(timestamp_ms)
     return Registered(n_fresh, int(snapshot.summary["added-records"]), total - n_fresh, snapshot, created)
 
 
-def _with_values(table: Table, paths: DataFrame, explicit: dict[str, str] | None) -> DataFrame:
+def _with_values(types: dict[str, str], paths: DataFrame, explicit: dict[str, str] | None) -> DataFrame:
     """Paths with their partition values, checked where they are made."""
-    if not table.spec:
+    if not types:
         return paths.withColumn("partition", F.create_map().cast("map<string,string>"))
-    own, schema = table.spec, table.schema
 
     def run(frames):
-        class _Like:
-            spec, schema = own, None
-
-        like = _Like()
-        like.schema = schema
         for frame in frames:
-            yield frame.assign(partition=[values_for(like, p, explicit) for p in frame["file_path"]])
+            yield frame.assign(partition=[values_by_spec(p, types, explicit) for p in frame["file_path"]])
 
     return paths.mapInPandas(run, "file_path string, partition map<string,string>")
 
 
+def register_known(table: Table, files: DataFrame, timestamp_ms: int | None = None) -> Registered:
+    """Register files of which all is known, without reading them.
+
+    ``files``: file_path, record_count, file_size_in_bytes and any further
+    columns of the inventory (counts and bounds by field id, partition values);
+    what is missing isn't known.  Every partition field must have a value.
+    Files that are in the table already are skipped.
+    """
+    given = set(files.columns)
+    if lacking := {"file_path", "record_count", "file_size_in_bytes"} - given:
+        raise InvalidInput("files need " + ", ".join(sorted(lacking)))
+    rest = {"file_format": F.lit("parquet"), "content": F.lit(0), "spec_id": F.lit(0)}
+    struct = T._parse_datatype_string(FILES)
+    columns = [F.col(f.name) if f.name in given else rest.get(f.name, F.create_map() if isinstance(f.dataType, T.MapType) else F.lit(None)) for f in struct.fields]
+    rows = once(files.select(*(c.cast(f.dataType).alias(f.name) for c, f in zip(columns, struct.fields, strict=True))).dropDuplicates(["file_path"]))
+    names = F.array(*(F.lit(f.name) for f in table.spec)) if table.spec else F.array().cast("array<string>")
+    if rows.where(F.size(F.array_except(names, F.coalesce(F.map_keys("partition"), F.array().cast("array<string>")))) > 0).limit(1).count():
+        raise InvalidPartition("a file lacks a partition value")
+    fresh = once(rows.join(table.files().select("file_path"), "file_path", "left_anti")) if table.metadata.current else rows
+    total, n_fresh = rows.count(), fresh.count()
+    if not n_fresh:
+        raise NothingRegistered(f"all {total} files are in {table.identifier} already")
+    snapshot = table.transaction().append(fresh).commit(timestamp_ms)
+    return Registered(n_fresh, int(snapshot.summary["added-records"]), total - n_fresh, snapshot)
+
+
 def partition_summary(files: DataFrame) -> DataFrame:
     """Files and records of each partition key of the inventory."""
     entries = F.array_sort(F.transform(F.map_entries("partition"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))))
@@ -150,12 +191,10 @@ def partition_summary(files: DataFrame) -> DataFrame:
 
 def upload(table: Table, path: str) -> str:
     """Copy a local file to the table's data folder under a name of its own."""
-    import uuid
-
     stem = path.rsplit("/", 1)[-1].removesuffix(".parquet")
     at = f"{table.metadata.location}/data/{stem}_{uuid.uuid4()}.parquet"
     table.catalog.storage.copy(path, at)
     return at
 
 
-__all__ = ["RegisterOptions", "Registered", "partition_key", "partition_summary", "register", "upload"]
+__all__ = ["RegisterOptions", "Registered", "partition_key", "partition_summary", "register", "register_known", "upload"]

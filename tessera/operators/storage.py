@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import gzip
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..errors import ConcurrentModification, NotFound
 
+#: Hadoop file systems that refuse to rename to a file that exists.
+RENAMES = ("hdfs", "viewfs", "ofs", "o3fs", "abfs", "abfss")
+
 
 class Storage:
     def __init__(self, spark: SparkSession):
@@ -47,14 +51,41 @@ class Storage:
         return (gzip.decompress(data) if path.endswith((".gz.metadata.json", ".gz")) else data).decode()
 
     def create(self, path: str, text: str) -> None:
-        """Write a file that mustn't exist; if another was faster, it's a concurrent modification."""
+        """Write a file that mustn't exist, whole or not at all; if another was faster, it's a concurrent modification.
+
+        Local files are written aside and linked, on file systems whose rename
+        doesn't overwrite (RENAMES) they are written aside and renamed: a reader
+        never sees a part, and of two writers one fails.  Object stores show a
+        file only when it is closed, and refuse one that exists if they support
+        conditional writes.
+        """
         files, at = self._at(path)
+        scheme = files.getUri().getScheme()
+        exists = ConcurrentModification(f"{path} exists already")
+        if files.exists(at):
+            raise exists
         try:
-            stream = files.create(at, False)
+            if scheme != "file" and scheme not in RENAMES:
+                self._write(files, at, text)
+                return
+            files.mkdirs(at.getParent())
+            aside = self._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}.tmp")
+            self._write(files, aside, text)
+            try:
+                if scheme == "file":
+                    to_local = lambda x: self._jvm.java.io.File(x.toUri().getPath()).toPath()
+                    self._jvm.java.nio.file.Files.createLink(to_local(at), to_local(aside))
+                elif not files.rename(aside, at):
+                    raise exists
+            finally:
+                files.delete(aside, False)
         except Py4JJavaError as why:
             if "exist" in str(why.java_exception).lower():
-                raise ConcurrentModification(f"{path} exists already") from None
+                raise exists from None
             raise
+
+    def _write(self, files, at, text: str) -> None:
+        stream = files.create(at, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from .commit import Transaction
 from .metadata import Metadata, Snapshot
 
 REJECT, ADD_FIELDS = "reject", "add-fields"
+#: Tasks that partition values are dealt to, for each file that a value asks for.
+SLOTS = 16
 
 
 @dataclass(frozen=True)
@@ -42,6 +45,10 @@ class Table:
     def spec(self) -> tuple[PartitionField, ...]:
         return self.metadata.spec
 
+    def schema_at(self, snapshot_id: int | None) -> Schema:
+        """The columns that the table had when the snapshot was made; today's without one."""
+        return self.schema if snapshot_id is None else self.metadata.schema_of(self.metadata.snapshot(snapshot_id).schema_id)
+
     def refresh(self) -> Table:
         fresh = self.catalog.load_table(self.identifier)
         self.metadata, self.metadata_path = fresh.metadata, fresh.metadata_path
@@ -60,13 +67,11 @@ class Table:
         snapshot = self.metadata.current if snapshot_id is None else self.metadata.snapshot(snapshot_id)
         if snapshot is None:
             raise NotFound(f"{self.identifier} has no snapshot")
-        empty = self.spark.createDataFrame([], FILES).withColumn("manifest", F.lit(None).cast("string"))
+        inventory = f"{FILES}, manifest string"
         paths = [m["manifest-path"] for m in self.manifest_list(snapshot)]
         if not paths:
-            return empty
-        rows = self.spark.read.schema(T._parse_datatype_string(FILES)).parquet(*paths)
-        where = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^file:/*", "/"), "/[^/]*$", "")
-        return rows.withColumn("manifest", where).where(F.col("status") != DELETED)
+            return self.spark.createDataFrame([], inventory)
+        return self.spark.read.schema(inventory).parquet(*paths).where(F.col("status") != DELETED)
 
     def files(self, snapshot_id: int | None = None) -> DataFrame:
         return self.files_with_stats(snapshot_id).select("file_path", "file_format", "record_count", "file_size_in_bytes")
@@ -87,8 +92,8 @@ class Table:
     # --- scans
 
     def _kept(self, p: Predicate, snapshot_id: int | None) -> DataFrame:
-        files = self.files_with_stats(snapshot_id)
-        return files.withColumn("kept", may_match_partition(p, self.schema, self.spec) & may_match_bounds(p, self.schema))
+        files, schema = self.files_with_stats(snapshot_id), self.schema_at(snapshot_id)
+        return files.withColumn("kept", may_match_partition(p, schema, self.spec) & may_match_bounds(p, schema))
 
     def plan(self, where: Predicate | str | None = None, snapshot_id: int | None = None) -> DataFrame:
         """One row: how many files a scan would read, of how many, and the percentage skipped."""
@@ -100,11 +105,13 @@ class Table:
 
         Files are skipped by partition values and bounds before anything is
         read; only their paths come to the driver.  Columns that a file lacks
-        are null.  The result is an ordinary DataFrame: further filters and
-        projections reach the Parquet scan.
+        are null.  An older snapshot has the columns of its time.  The result is
+        an ordinary DataFrame: further filters and projections reach the Parquet
+        scan.
         """
         p = as_predicate(where)
-        struct = by_name(self.schema)
+        schema = self.schema_at(snapshot_id)
+        struct = by_name(schema)
         if self.metadata.current is None:
             return self.spark.createDataFrame([], struct)
         kept = self._kept(p, snapshot_id)
@@ -113,7 +120,7 @@ class Table:
             rows = self.spark.createDataFrame([], struct)
         else:
             rows = self.spark.read.schema(struct).parquet(*paths).select(*(F.col(f"`{f.name}`") for f in struct.fields))
-        return rows.where(to_column(p, self.schema)) if residual else rows
+        return rows.where(to_column(p, schema)) if residual else rows
 
     # --- writes
 
@@ -138,30 +145,38 @@ class Table:
         several tasks.  ``files_per_partition`` asks for so many files a value
         instead, which suits values of a known size.
         """
-        names = {f.name for f in self.schema.fields}
         struct = self.schema.spark()
         missing = [f for f in struct.fields if f.name not in df.columns]
         rows = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name, metadata=f.metadata) if f not in missing else F.lit(None).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in struct.fields))
-        folders = {f: f.name if f.name not in names else f"{f.name}_part" for f in self.spec}
+        folders = self.folders()
         for f, folder in folders.items():
             rows = rows.withColumn(folder, f.transform.column(F.col(f"`{f.source}`"), self.schema.field(f.source).type))
         if files_per_partition:
-            spread = F.pmod(F.monotonically_increasing_id(), F.lit(files_per_partition)) if files_per_partition > 1 else None
-            keys = [F.col(f"`{c}`") for c in folders.values()]
+            spread = F.pmod(F.monotonically_increasing_id(), F.lit(files_per_partition))
             if not folders:
                 rows = rows.repartition(files_per_partition)
-            else:  # a number of its own keeps adaptive execution from putting the parts together again
-                rows = rows.repartition(16 * files_per_partition, *keys, spread) if files_per_partition > 1 else rows.repartition(*keys)
+            elif files_per_partition == 1:
+                rows = rows.repartition(*(F.col(f"`{c}`") for c in folders.values()))
+            else:  # parts of a value go to tasks of their own
+                slot = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in folders.values())), F.lit(SLOTS))
+                rows = rows.repartitionById(SLOTS * files_per_partition, (slot * files_per_partition + spread).cast("int"))
         elif folders:
             rows = rows.hint("rebalance", *(F.col(f"`{c}`") for c in folders.values()))
         batch = f"{self.metadata.location}/data/{uuid.uuid4()}"
         writer = rows.write.option("compression", codec)
         (writer.partitionBy(*folders.values()) if folders else writer).parquet(batch)
-        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(batch).select(plain_column("path").alias("file_path"))
+        return self.inventory_of(batch)
+
+    def inventory_of(self, folder: str) -> DataFrame:
+        """Inventory rows of the files below a folder that was written with this table's partition folders."""
+        from ..plans.persist import once
+
+        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select(plain_column("path").alias("file_path"))
         values = []
-        for f, folder in folders.items():
-            text = F.regexp_extract("file_path", f"/{folder}=([^/]*)/", 1)
-            text = F.when(text == "__HIVE_DEFAULT_PARTITION__", F.lit(None)).otherwise(F.expr("url_decode(replace(x, '+', '%2B'))".replace("x", f"regexp_extract(file_path, '/{folder}=([^/]*)/', 1)")))
+        for f, name in self.folders().items():
+            raw = F.regexp_extract("file_path", f"/{re.escape(name)}=([^/]*)/", 1)
+            # Folders are escaped by percent signs only: a plus sign is one.
+            text = F.when(raw == "__HIVE_DEFAULT_PARTITION__", F.lit(None)).otherwise(F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
             values += [F.lit(f.name), text]
         partition = F.create_map(*values) if values else F.create_map().cast("map<string,string>")
         # An empty text has the folder of null: such a value isn't known, so it is left out.
@@ -169,10 +184,12 @@ class Table:
         if texts:
             partition = F.map_filter(partition, lambda k, v: v.isNotNull() | ~k.isin(texts))
         paths = found.withColumn("partition", partition).repartition(footer_tasks(found.count()))
-        written = introspect(paths, self.schema).where("record_count > 0")
-        from ..plans.persist import once
+        return once(introspect(paths, self.schema).where("record_count > 0"))
 
-        return once(written)
+    def folders(self) -> dict[PartitionField, str]:
+        """The folder name of each partition field: its own, unless a column has it."""
+        names = {f.name for f in self.schema.fields}
+        return {f: f.name if f.name not in names else f"{f.name}_part" for f in self.spec}
 
     def append(self, df: DataFrame, policy: str = REJECT, files_per_partition: int | None = None, timestamp_ms: int | None = None) -> Appended:
         """Add rows as one snapshot, whatever number of files and partitions they take."""

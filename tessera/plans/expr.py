@@ -202,7 +202,7 @@ def positive(p: Predicate) -> Predicate:
 # --- text
 
 _TOKEN = re.compile(
-    r"""\s*(?:(?P<string>'(?:[^']|'')*'|"(?:[^"]|"")*")|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)(?![\w.])"""
+    r"""\s*(?:(?P<hex>[xX]'(?:[0-9a-fA-F]{2})*')|(?P<string>'(?:[^']|'')*'|"(?:[^"]|"")*")|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)(?![\w.])"""
     r"""|(?P<op><>|!=|<=|>=|=|<|>)|(?P<mark>[(),])|(?P<word>[^\W\d][\w.\-]*|`[^`]+`|\#\d+))"""
 )
 
@@ -211,8 +211,8 @@ def parse(text: str) -> Predicate:
     """A predicate from text.
 
     Comparisons, ``[NOT] IN (...)``, ``IS [NOT] NULL``, AND, OR, NOT and
-    parentheses; keywords in any case; strings, numbers, true, false, and dates
-    and times in quotes.  Empty text is true for every row.
+    parentheses; keywords in any case; strings, numbers, true, false, dates and
+    times in quotes, and bytes as X'..'.  Empty text is true for every row.
     """
     tokens, at = [], 0
     while text[at:].strip():
@@ -301,6 +301,8 @@ def _value(tokens: list) -> object:
         return float(text) if re.search(r"[.eE]", text) else int(text)
     if kind == "word" and text.upper() in ("TRUE", "FALSE"):
         return text.upper() == "TRUE"
+    if kind == "hex":
+        return bytes.fromhex(text[2:-1])
     if kind != "string":
         raise InvalidFilter(f"{text!r} is no value")
     bare = text[1:-1].replace(text[0] * 2, text[0])

@@ -14,12 +14,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import IncompatibleSchema
 from .operators.catalog import FolderCatalog
-from .operators.compact import CompactOptions, compact_table, plan_compaction
-from .operators.register import RegisterOptions, partition_summary, register
+from .operators.compact import CompactOptions, compact_table, plan_compaction, plan_totals
+from .operators.register import RegisterOptions, partition_summary, register, register_known
 from .operators.retention import RetentionOptions, expire, plan_retention
 from .operators.table import ADD_FIELDS, Table, append_or_create
 from .plans.expr import col, not_
+from .types import Schema
 
 NOW_MS = 1_735_689_600_000
 DAY_MS = 86_400_000
@@ -27,7 +29,9 @@ DAY_MS = 86_400_000
 
 def workspace(spark: SparkSession) -> FolderCatalog:
     """A catalog in a fresh folder that executors share; local temporary ones go when the process ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if base:
         at = f"{base.rstrip('/')}/warehouse-{uuid.uuid4().hex}"
     else:
@@ -181,8 +185,6 @@ def register_hive(spark, sf_dir):
     at = f"{catalog.warehouse}/incoming"
     orders.withColumn("status", F.col("o_orderstatus")).repartition("status").write.partitionBy("status").parquet(at)
     catalog.create_namespace("db")
-    from .types import Schema
-
     catalog.create_table("db.orders", Schema.of(orders.schema), "o_orderstatus=status")
     register(catalog, "db.orders", at)
     return catalog.load_table("db.orders").scan("o_orderstatus != 'P' AND o_totalprice > 100000")
@@ -217,7 +219,7 @@ def compact_file_counts(spark, sf_dir):
 
 
 def compact_plan(spark, sf_dir):
-    """First fit by size over made-up files, one for each order; checked against hand-worked cases in the tests."""
+    """First fit by size over made-up files, one for each order."""
     files = data(spark, sf_dir, "orders").select(F.concat(F.lit("/t/data/status="), F.col("o_orderstatus"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".parquet")).alias("file_path"), (F.col("o_totalprice") * 100).cast("bigint").alias("file_size_in_bytes"))
     return plan_compaction(files, CompactOptions(target_bytes=1 << 26, max_input_bytes=1 << 25))
 
@@ -231,8 +233,81 @@ def rewrite_files(spark, sf_dir):
     return table.scan()
 
 
+def pruned_percent(spark, sf_dir):
+    """How many of a table's files a scan skips."""
+    table = written(spark, data(spark, sf_dir, "orders"), "o_orderdate:year=y", files_per_partition=1)
+    plan = table.plan("o_orderdate < '1995-01-01'")
+    return plan.select("kept", "total", F.round("pruned_percent", 6).alias("pruned_percent"))
+
+
+def partition_void(spark, sf_dir):
+    """A void field: every row has the same, unknown partition value."""
+    table = written(spark, data(spark, sf_dir, "customer"), "c_custkey:void=p", files_per_partition=1)
+    return table.files_with_stats().groupBy(F.col("partition")["p"].alias("p")).agg(F.sum("record_count").alias("n"))
+
+
+def split_offsets(spark, sf_dir):
+    """Files with a split offset for their one row group, after the four bytes that begin a file; column sizes are known for every column."""
+    table = written(spark, data(spark, sf_dir, "supplier"), files_per_partition=2)
+    rows = table.files_with_stats().select(F.size("split_offsets").cast("bigint").alias("n_offsets"), F.col("split_offsets")[0].alias("first_offset"), F.size("column_sizes").cast("bigint").alias("n_columns"))
+    return rows.groupBy("n_offsets", "first_offset", "n_columns").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def time_travel_evolved(spark, sf_dir):
+    """The first of two snapshots, between which a column came."""
+    nation = data(spark, sf_dir, "nation")
+    table = written(spark, nation.where("n_nationkey % 2 = 0").select("n_nationkey", "n_name"))
+    first = table.metadata.current_snapshot_id
+    table.append(nation.where("n_nationkey % 2 = 1").select("n_nationkey", "n_name", "n_regionkey"), ADD_FIELDS)
+    return table.scan(snapshot_id=first)
+
+
+def register_two_schemas(spark, sf_dir):
+    """Files of two schemas: refused as they are, registered when fields may be added."""
+    catalog = workspace(spark)
+    customer, at = data(spark, sf_dir, "customer"), f"{catalog.warehouse}/incoming"
+    customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name").write.parquet(at)
+    customer.where("c_custkey % 2 = 1").select("c_custkey", "c_acctbal").write.mode("append").parquet(at)
+    try:
+        register(catalog, "db.customer", at, RegisterOptions(fail_if_missing=False))
+        refused = False
+    except IncompatibleSchema:
+        refused = True
+    register(catalog, "db.customer", at, RegisterOptions(fail_if_missing=False, policy=ADD_FIELDS))
+    return catalog.load_table("db.customer").scan().select("c_custkey", "c_name", "c_acctbal", F.lit(refused).alias("refused"))
+
+
+def register_metrics(spark, sf_dir):
+    """Files registered by given metrics alone, one a nation, and what a filter on their bounds keeps; none is read."""
+    customer = data(spark, sf_dir, "customer")
+    facts = customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("record_count"), F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
+    files = facts.select(
+        F.concat(F.lit("/files/"), F.col("c_nationkey").cast("string"), F.lit(".parquet")).alias("file_path"), "record_count", (F.col("record_count") * 100).alias("file_size_in_bytes"),
+        F.create_map(F.lit(1), F.col("low").cast("string")).alias("lower_bounds"), F.create_map(F.lit(1), F.col("high").cast("string")).alias("upper_bounds"),
+    )
+    catalog = workspace(spark)
+    catalog.create_namespace("db")
+    table = catalog.create_table("db.customer", Schema.of(customer.select("c_custkey", "c_name").schema))
+    register_known(table, files)
+    return table.plan("c_custkey <= 20").join(table.totals().select("n_records", "n_bytes"))
+
+
+def paths_with_blanks(spark, sf_dir):
+    """A table below a folder with blanks and percent signs, partitioned by such values, compacted and read back."""
+    catalog = workspace(spark)
+    orders = data(spark, sf_dir, "orders").withColumn("o_orderstatus", F.concat(F.lit("50% + "), "o_orderstatus"))
+    table, _ = append_or_create(FolderCatalog(spark, f"{catalog.warehouse}/a b%20c"), "db.t", orders, "o_orderstatus", files_per_partition=4)
+    compact_table(table, CompactOptions())
+    return table.scan("o_orderstatus != '50% + P'")
+
+
+def compaction_totals(spark, sf_dir):
+    """What compaction of made-up files, one for each order, would do."""
+    return plan_totals(compact_plan(spark, sf_dir), CompactOptions(target_bytes=1 << 26, max_input_bytes=1 << 25)).drop("n_output_files")
+
+
 def _made_snapshots(spark, sf_dir):
-    orders = data(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    orders = data(spark, sf_dir, "orders")
     return orders.select(F.col("o_orderkey").alias("snapshot_id"), (F.lit(NOW_MS) - F.col("o_custkey") * 3_600_000).alias("timestamp_ms"), (F.col("o_orderkey") == 7).alias("is_current"), F.when(F.col("o_orderkey") % 97 == 0, F.array(F.lit("tag"))).otherwise(F.array().cast("array<string>")).alias("refs"))
 
 
@@ -260,8 +335,6 @@ def stream_append(spark, sf_dir):
     at = f"{catalog.warehouse}/incoming"
     events.repartition(2).write.parquet(at)
     catalog.create_namespace("db")
-    from .types import Schema
-
     table = catalog.create_table("db.events", Schema.of(events.schema))
     query = append_stream(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at), table, f"{catalog.warehouse}/progress", "events")
     query.awaitTermination()
@@ -300,6 +373,7 @@ def queries() -> dict:
         scan_full, filter_date_literal, filter_null, filter_not_null, by_id, downstream_join_agg, partition_pruned_scan, pruning_counts, pruning_by_bounds, column_stats, table_totals,
         append_two_commits, snapshot_log, time_travel, evolve_add_column, register_idempotent, register_hive, hive_path_values, commit_partition_summary, compact_preserves_rows,
         compact_file_counts, compact_plan, rewrite_files, snapshot_retention, expire_snapshots, stream_append,
+        pruned_percent, partition_void, split_offsets, time_travel_evolved, register_two_schemas, register_metrics, paths_with_blanks, compaction_totals,
     )
     return (
         {name: _lineitem_filter(where) for name, (where, _) in LINEITEM.items()}
@@ -315,7 +389,28 @@ def oracle_sql() -> dict[str, str]:
     for c in STAT_COLUMNS:
         text = {"o_totalprice": "printf('%.2f', {})", "o_orderdate": "strftime({}, '%Y-%m-%d %H:%M:%S')"}.get(c, "CAST({} AS VARCHAR)")
         stats.append(f"SELECT '{c}' AS column_name, count(*) AS n, count({c}) AS n_values, count(*) - count({c}) AS n_nulls, {text.format(f'min({c})')} AS low, {text.format(f'max({c})')} AS high FROM orders")
+    packed = """
+            WITH RECURSIVE f AS (SELECT 'status=' || o_orderstatus AS partition_key, '/t/data/status=' || o_orderstatus || '/' || o_orderkey || '.parquet' AS file_path, CAST(trunc(o_totalprice * 100) AS BIGINT) AS size FROM orders),
+                 s AS (SELECT *, row_number() OVER (PARTITION BY partition_key ORDER BY size, file_path) AS i FROM f WHERE size < 33554432),
+                 walk(partition_key, i, file_path, size, group_id, used) AS (
+                     SELECT partition_key, i, file_path, size, CAST(0 AS BIGINT), size FROM s WHERE i = 1
+                     UNION ALL
+                     SELECT s.partition_key, s.i, s.file_path, s.size, CASE WHEN used + s.size <= 67108864 THEN group_id ELSE group_id + 1 END, CASE WHEN used + s.size <= 67108864 THEN used + s.size ELSE s.size END
+                     FROM walk JOIN s ON s.partition_key = walk.partition_key AND s.i = walk.i + 1),
+                 kept AS (SELECT *, count(*) OVER (PARTITION BY partition_key, group_id) AS members FROM walk)"""
     return found | {
+        "compact_plan": f"{packed} SELECT partition_key, group_id, file_path, size AS file_size_in_bytes FROM kept WHERE members >= 3",
+        "compaction_totals": f"{packed} SELECT count(DISTINCT partition_key || ':' || group_id) AS n_groups, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes FROM kept WHERE members >= 3",
+        "compact_file_counts": "SELECT o_orderstatus AS status, CAST(4 AS BIGINT) AS n_before, CAST(1 AS BIGINT) AS n_after FROM orders GROUP BY 1",
+        "pruned_percent": "WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders) SELECT count(*) FILTER (y < 1995) AS kept, count(*) AS total, round(100.0 * count(*) FILTER (y >= 1995) / count(*), 6) AS pruned_percent FROM y",
+        "partition_void": "SELECT CAST(NULL AS VARCHAR) AS p, count(*) AS n FROM customer",
+        "split_offsets": "SELECT CAST(1 AS BIGINT) AS n_offsets, CAST(4 AS BIGINT) AS first_offset, (SELECT count(*) FROM (DESCRIBE supplier)) AS n_columns, CAST(2 AS BIGINT) AS n_files",
+        "time_travel_evolved": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0",
+        "register_two_schemas": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END AS c_acctbal, true AS refused FROM customer",
+        "register_metrics": """
+            WITH f AS (SELECT count(*) AS n, min(c_custkey) AS low FROM customer GROUP BY c_nationkey)
+            SELECT count(*) FILTER (low <= 20) AS kept, count(*) AS total, 100.0 * count(*) FILTER (low > 20) / count(*) AS pruned_percent, CAST(sum(n) AS BIGINT) AS n_records, CAST(sum(n) * 100 AS BIGINT) AS n_bytes FROM f""",
+        "paths_with_blanks": "SELECT * REPLACE ('50% + ' || o_orderstatus AS o_orderstatus) FROM orders WHERE o_orderstatus != 'P'",
         "scan_full": "SELECT * FROM nation",
         "filter_date_literal": "SELECT * FROM lineitem WHERE l_shipdate >= DATE '1999-01-01' AND l_returnflag IN ('A', 'R')",
         "filter_null": "SELECT * REPLACE (nullif(event_type, 'error') AS event_type) FROM events WHERE nullif(event_type, 'error') IS NULL",
@@ -341,7 +436,7 @@ def oracle_sql() -> dict[str, str]:
         "compact_preserves_rows": "SELECT * FROM orders",
         "rewrite_files": "SELECT * FROM orders WHERE o_orderstatus IN ('O', 'P')",
         "snapshot_retention": f"""
-            WITH s AS (SELECT o_orderkey AS snapshot_id, {NOW_MS} - o_custkey * 3600000 AS ts, o_orderkey = 7 AS cur, o_orderkey % 97 = 0 AS ref FROM orders WHERE o_orderkey < 2000),
+            WITH s AS (SELECT o_orderkey AS snapshot_id, {NOW_MS} - o_custkey * 3600000 AS ts, o_orderkey = 7 AS cur, o_orderkey % 97 = 0 AS ref FROM orders),
                  r AS (SELECT *, row_number() OVER (ORDER BY ts DESC, snapshot_id DESC) AS rank FROM s),
                  w AS (SELECT *, CASE WHEN cur THEN 'current' WHEN ref THEN 'referenced' WHEN rank <= 20 THEN 'newest' WHEN {NOW_MS} - ts < {3 * DAY_MS} THEN 'recent' ELSE 'expired' END AS reason FROM r)
             SELECT snapshot_id, round(({NOW_MS} - ts) / {DAY_MS}.0, 6) AS age_days, reason != 'expired' AS keep, reason FROM w""",

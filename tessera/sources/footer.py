@@ -54,13 +54,30 @@ def typed_values(found: dict[str, str], types: dict[str, str]) -> dict[str, obje
     return out
 
 
-def values_by_spec(path: str, types: dict[str, str]) -> dict[str, object]:
-    """Values of all partition fields from a path; a missing one is an error."""
-    found = hive_values(path)
+def values_by_spec(path: str, types: dict[str, str], explicit: dict[str, str] | None = None) -> dict[str, str]:
+    """Texts of all partition fields of a path, given ones before those of its folders; a missing or unfit one is an error."""
+    found = hive_values(path) | (explicit or {})
     for k in types:
         if k not in found:
             raise InvalidPartition(f"missing partition segment {k!r} in {path}")
-    return typed_values({k: found[k] for k in types}, types)
+    typed_values({k: found[k] for k in types}, types)
+    return {k: found[k] for k in types}
+
+
+# Schemes of Hadoop's file systems by the names that Arrow's have.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def open_store(path: str):
+    """(file system, path in it) for reading a few bytes of a file on an executor, where Hadoop's file systems aren't at hand."""
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        path = plain(path)
+    if is_local_path(path):
+        return pafs.LocalFileSystem(), path
+    scheme, _, rest = path.partition("://")
+    return pafs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def partition_key(values: dict[str, object]) -> str:
@@ -95,11 +112,10 @@ def bound_text(value: object) -> str | None:
 
 def read_footer(path: str, ids: dict[str, int] | None) -> dict:
     """One file's counts, sizes and bounds by field id, over all of its row groups."""
-    import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
     try:
-        files, at = pafs.FileSystem.from_uri(path) if not is_local_path(path) else (pafs.LocalFileSystem(), path)
+        files, at = open_store(path)
         size = files.get_file_info(at).size
         with files.open_input_file(at) as handle:
             meta = pq.read_metadata(handle)
@@ -145,7 +161,7 @@ def read_footer(path: str, ids: dict[str, int] | None) -> dict:
     return {
         "file_path": path, "file_format": "parquet", "content": 0, "status": ADDED, "snapshot_id": None, "sequence_number": None, "spec_id": 0,
         "record_count": meta.num_rows, "file_size_in_bytes": size, "partition": {}, "column_sizes": sizes, "value_counts": counted(values), "null_value_counts": counted(nulls),
-        "lower_bounds": text(low), "upper_bounds": text(high), "split_offsets": offsets,
+        "lower_bounds": text(low), "upper_bounds": text(high), "split_offsets": offsets, "columns": "; ".join(f"{f.name} {f.type}" for f in schema),
     }
 
 
@@ -154,14 +170,15 @@ def footer_tasks(files: int) -> int:
     return max(1, min(2000, files // 32 + 1))
 
 
-def introspect(paths: DataFrame, schema: Schema | None = None) -> DataFrame:
+def introspect(paths: DataFrame, schema: Schema | None = None, columns: bool = False) -> DataFrame:
     """Inventory rows of Parquet files (one column of paths, optionally ``partition``); only footers are read.
 
-    Without a table schema, files' own field ids count, or else places.
+    Without a table schema, files' own field ids count, or else places.  With
+    ``columns`` a file's columns and their types come along as text.
     """
     ids = None if schema is None else {f.name: f.id for f in schema.fields}
     has_partition = "partition" in paths.columns
-    out = T._parse_datatype_string(FILES)
+    out = T._parse_datatype_string(FILES + (", columns string" if columns else ""))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -180,7 +197,7 @@ def footer_schema(spark: SparkSession, path: str) -> T.StructType:
     import pyarrow.parquet as pq
 
     struct = spark.read.parquet(path).schema
-    files, at = pafs.FileSystem.from_uri(path) if not is_local_path(path) else (pafs.LocalFileSystem(), path)
+    files, at = open_store(path)
     info = files.get_file_info(at)
     if info.type != pafs.FileType.File:
         return struct
@@ -190,8 +207,8 @@ def footer_schema(spark: SparkSession, path: str) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, f.nullable, {**f.metadata, **({"parquet.field.id": ids[f.name]} if f.name in ids else {})}) for f in struct.fields])
 
 
-def expand(spark: SparkSession, pattern: str) -> DataFrame:
-    """(file_path, file_size) of the Parquet files that a path or glob names; none is an error."""
+def expand(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
+    """(file_path, file_size) of the Parquet files that a path, a glob or a list of these names; none is an error."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(pattern).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"))
     if not found.limit(1).count():
         raise InvalidFile(f"no Parquet files match {pattern}")

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -6,9 +7,9 @@ from pyspark.sql import types as T
 
 from tessera import errors as E
 from tessera.functions.transforms import Transform, parse_spec
-from tessera.operators.catalog import next_metadata_path, parse_identifier
+from tessera.operators.catalog import FolderCatalog, next_metadata_path, parse_identifier
 from tessera.operators.compact import CompactOptions, compact_table, first_fit, plan_compaction, plan_totals
-from tessera.operators.register import RegisterOptions, parse_values, register
+from tessera.operators.register import RegisterOptions, parse_identity_spec, parse_values, register, register_known, upload
 from tessera.operators.retention import DAY_MS, RetentionOptions, expire, plan_retention
 from tessera.operators.table import ADD_FIELDS, append_or_create
 from tessera.sources.footer import hive_values, introspect, partition_key, typed_values
@@ -140,7 +141,7 @@ def test_register(catalog, spark, tmp_path):
         register(catalog, "db.p", at)
     assert register(catalog, "db.p", at, RegisterOptions(allow_noop=True)).skipped == 1
     with pytest.raises(E.InvalidInput):
-        register(catalog, "db.p", "logs/part-1.parquet")
+        register(catalog, "db.p", "shop/00017.parquet")
     (tmp_path / "empty").mkdir()
     with pytest.raises(E.InvalidFile):
         register(catalog, "db.p", str(tmp_path / "empty"))
@@ -160,13 +161,13 @@ def test_bounds_cover_all_row_groups(spark, tmp_path):
 
 
 def test_hive_paths():
-    path = "logs/year=2025/month=12/day=06/hour=15/part.parquet"
-    assert typed_values(hive_values(path), {k: "int" for k in ("year", "month", "day", "hour")}) == {"year": 2025, "month": 12, "day": 6, "hour": 15}
+    path = "shop/region=7/open=True/since=1998-03-21/lane=0042/00017.parquet"
+    assert typed_values(hive_values(path), {"region": "int", "open": "boolean", "since": "date", "lane": "long"}) == {"region": 7, "open": True, "since": dt.date(1998, 3, 21), "lane": 42}
     assert hive_values("t/a=x%20y/b=1=2/c=3.parquet") == {"a": "x y", "b": "1=2"}
     with pytest.raises(E.InvalidPartition):
-        typed_values({"hour": "notanumber"}, {"hour": "hour"})
-    assert partition_key({"year": 2024, "month": "01"}) == "month=01/year=2024"
-    assert parse_values("year=2024, month=01") == {"year": "2024", "month": "01"}
+        typed_values({"lane": "12b"}, {"lane": "long"})
+    assert partition_key({"zone": 3, "lane": "0042"}) == "lane=0042/zone=3"
+    assert parse_values("zone=3, lane=0042") == {"zone": "3", "lane": "0042"}
 
 
 def test_compaction_plan(spark):
@@ -249,3 +250,187 @@ def test_command_line(catalog, spark, tmp_path):
     assert do("namespace", "create", "other") == {"created": "other"}
     assert run(spark, ["--warehouse", catalog.warehouse, "namespace", "list"]).splitlines()[0] == "namespace"
     assert bytes_text(1536) == "1.50 KiB"
+    assert do("commit", "db.t", at, "--upload")["added_files"] == 4 and do("table", "info", "db.t")["records"] == "20"
+    with pytest.raises(E.InvalidFile):
+        do("commit", "db.t", str(tmp_path / "nothing"), "--upload")
+
+
+def test_paths_of_any_characters(spark, tmp_path):
+    """Blanks, percent signs, plus signs and letters beyond ASCII in the warehouse and in partition values."""
+    catalog = FolderCatalog(spark, str(tmp_path / "ware house %41 + größe"))
+    keys = ["a b", "50%", "x+y", "naïve/é", "100%25", "k=v", "{[*?]}"]
+    df = spark.range(140).select("id", F.element_at(F.array(*map(F.lit, keys)), (F.col("id") % len(keys) + 1).cast("int")).alias("k"))
+    table, _ = append_or_create(catalog, "db.t", df, "k", files_per_partition=3)
+    assert {r["partition"]["k"] for r in table.files_with_stats().collect()} == set(keys)
+    assert table.totals().first()["n_files"] == 21
+    rows = lambda: sorted(map(tuple, table.refresh().scan().collect()))
+    want = sorted(map(tuple, df.collect()))
+    assert rows() == want and table.plan("k = '50%'").first()["kept"] == 3
+    done = compact_table(table)
+    assert (done.groups, done.files_in, done.files_out) == (7, 21, 7)
+    assert rows() == want and table.totals().first()["n_files"] == 7
+    assert sorted(r["id"] for r in table.scan("k = 'x+y'").collect()) == list(range(2, 140, 7))
+    old = table.files_with_stats().where(F.col("partition")["k"] == "50%").select("file_path")
+    table.transaction().rewrite(old, table.write_files(df.where("id = 1"))).commit()
+    assert sorted(r["id"] for r in table.refresh().scan("k = '50%'").collect()) == [1] and table.scan().count() == 121
+    at = str(tmp_path / "in coming é")
+    df.write.partitionBy("k").parquet(at)
+    catalog.create_table("db.r", Schema.of(spark.createDataFrame([], "id long").schema))
+    assert register(catalog, "db.r", at).added_records == 140 and catalog.load_table("db.r").scan().count() == 140
+
+
+def test_compaction_that_meets_a_lost_file(catalog, spark):
+    df = spark.range(120).select("id", (F.col("id") % 3).cast("string").alias("k"))
+    table, _ = append_or_create(catalog, "db.t", df, "k", files_per_partition=3)
+    lost = table.files_with_stats().where(F.col("partition")["k"] == "1").orderBy("file_path").first()["file_path"]
+    catalog.storage.delete(lost)
+    before = table.metadata.current_snapshot_id
+    with pytest.raises(E.CompactionFailed):
+        compact_table(table)
+    assert table.refresh().metadata.current_snapshot_id == before
+    done = compact_table(table, CompactOptions(allow_partial=True))
+    assert (done.groups, done.files_in, len(done.failed)) == (2, 6, 1) and done.failed[0].endswith("=1")
+    assert sorted(r["id"] for r in table.refresh().scan("k = '2'").collect()) == list(range(2, 120, 3))
+
+
+def test_packing_of_many_files_is_shared(spark, monkeypatch):
+    from tessera.operators import compact
+
+    files = spark.range(500).select(F.format_string("/t/d=%d/%05d.parquet", F.col("id") % 2, "id").alias("file_path"), (1000 + F.col("id")).alias("file_size_in_bytes"))
+    monkeypatch.setattr(compact, "FILES_A_TASK", 60)
+    plan = plan_compaction(files, CompactOptions(target_bytes=20_000, max_input_bytes=10_000, max_group_bytes=20_000))
+    groups = plan.groupBy("partition_key", "group_id").agg(F.sum("file_size_in_bytes").alias("b"), F.count("*").alias("n")).collect()
+    assert max(r["b"] for r in groups) <= 20_000 and min(r["n"] for r in groups) >= 3
+    assert plan.select("file_path").distinct().count() == plan.count() > 450
+
+
+def test_commits_that_fail_leave_the_table_readable(catalog, spark, monkeypatch):
+    table, _ = append_or_create(catalog, "db.t", people(spark, (1, "a")))
+    ids = lambda: sorted(r["id"] for r in catalog.load_table("db.t").scan().collect())
+    files = table.write_files(people(spark, (2, "b")))
+    real = catalog.replace_metadata
+    names = lambda: [n for n in catalog.storage.names(f"{table.metadata.location}/metadata") if not n.startswith(".")]
+    # Before publication: what was written goes.
+    before = names()
+    with monkeypatch.context() as m:
+        m.setattr(catalog.storage, "create", lambda path, text: (_ for _ in ()).throw(OSError("disk")))
+        with pytest.raises(OSError):
+            table.transaction().append(files).commit()
+    assert names() == before and ids() == [1]
+    # During it, when nobody knows whether it was published: everything stays.
+    for publish in (False, True):
+        def lost(t, new, publish=publish):
+            if publish:
+                real(t, new)
+            raise OSError("connection lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(catalog, "replace_metadata", lost)
+            with pytest.raises(OSError):
+                table.transaction().append(files).commit()
+        assert ids() == ([1, 2] if publish else [1])
+    # After it: the snapshot is there and the table in hand is up to date.
+    table.refresh()
+    with monkeypatch.context() as m:
+        m.setattr(catalog.storage, "read", lambda path, real=catalog.storage.read: (_ for _ in ()).throw(OSError("gone")) if "metadata.json" in path else real(path))
+        made = table.transaction().append(table.write_files(people(spark, (3, "c")))).commit()
+    assert table.metadata.current_snapshot_id == made.snapshot_id and ids() == [1, 2, 3]
+
+
+def test_files_appear_whole(catalog, spark, tmp_path):
+    storage, at = catalog.storage, str(tmp_path / "new" / "a b.json")
+    storage.create(at, "x" * 100_000)
+    assert storage.read(at) == "x" * 100_000 and storage.names(str(tmp_path / "new")) == ["a b.json"]
+    with pytest.raises(E.ConcurrentModification):
+        storage.create(at, "other")
+
+    class Dies(type(storage)):
+        def _write(self, files, path, text):
+            stream = files.create(path, False)
+            stream.write(bytearray(text[:10].encode()))
+            stream.close()
+            raise OSError("driver lost")
+
+    with pytest.raises(OSError):
+        Dies(spark).create(str(tmp_path / "new" / "b.json"), "whole text")
+    assert not storage.exists(str(tmp_path / "new" / "b.json"))
+
+
+def test_gzipped_metadata(catalog, spark):
+    import gzip
+    from pathlib import Path
+
+    table, _ = append_or_create(catalog, "db.t", people(spark, (1, "a")))
+    newest = Path(table.metadata_path)
+    newest.with_name(newest.name.replace(".metadata.json", ".gz.metadata.json")).write_bytes(gzip.compress(newest.read_bytes()))
+    newest.unlink()
+    again = catalog.load_table("db.t")
+    assert again.metadata_path.endswith(".gz.metadata.json") and again.append(people(spark, (2, "b"))).snapshot
+    assert sorted(r["id"] for r in catalog.load_table("db.t").scan().collect()) == [1, 2]
+
+
+def test_register_looks_at_every_file(catalog, spark, tmp_path):
+    at = str(tmp_path / "in")
+    people(spark, (1, "a")).coalesce(1).write.parquet(at)
+    spark.createDataFrame([("x", 2.5)], "name string, weight double").coalesce(1).write.mode("append").parquet(at)
+    with pytest.raises(E.IncompatibleSchema):
+        register(catalog, "db.p", at, RegisterOptions(fail_if_missing=False))
+    assert not catalog.table_exists("db.p")
+    done = register(catalog, "db.p", at, RegisterOptions(fail_if_missing=False, policy=ADD_FIELDS))
+    table = catalog.load_table("db.p")
+    assert done.added_files == 2 and {f.name for f in table.schema.fields} == {"id", "name", "weight"}
+    assert sorted(table.scan().select("id", "name", "weight").collect(), key=str) == sorted([(1, "a", None), (None, "x", 2.5)], key=str)
+    assert [r["id"] for r in table.scan("weight IS NULL").collect()] == [1] and table.plan("weight < 1").first()["kept"] == 1  # the other file lacks the column
+    spark.createDataFrame([("y",)], "id string").coalesce(1).write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(E.IncompatibleSchema):
+        register(catalog, "db.p", str(tmp_path / "bad"), RegisterOptions(policy=ADD_FIELDS))
+    assert table.refresh().scan().count() == 2
+
+
+def test_register_with_given_values_and_metrics(catalog, spark, tmp_path):
+    at = str(tmp_path / "in" / "one.parquet")
+    people(spark, (1, "a"), (2, "b")).coalesce(1).write.parquet(at)
+    table = catalog_table = None
+    catalog.create_namespace("db")
+    table = catalog.create_table("db.t", Schema.of(people(spark).schema), "name=n,id:bucket[4]=b")
+    with pytest.raises(E.InvalidPartition):
+        register(catalog, "db.t", at)
+    with pytest.raises(E.InvalidPartition, match="expected int"):
+        register(catalog, "db.t", at, explicit={"n": "a", "b": "many"})
+    source = next((tmp_path / "in" / "one.parquet").glob("*.parquet"))
+    copied = upload(table, str(source))
+    assert copied.startswith(f"{table.metadata.location}/data/") and copied != str(source)
+    assert register(catalog, "db.t", [copied], explicit={"n": "a", "b": "2"}).added_records == 2
+    catalog_table = catalog.load_table("db.t")
+    assert catalog_table.files_with_stats().first()["partition"] == {"n": "a", "b": "2"}
+    known = spark.createDataFrame([(str(source), 2, 700, {"n": "b", "b": "1"}, {1: "1"}, {1: "2"})], "file_path string, record_count long, file_size_in_bytes long, partition map<string,string>, lower_bounds map<int,string>, upper_bounds map<int,string>")
+    done = register_known(catalog_table, known)
+    assert (done.added_files, done.added_records) == (1, 2) and catalog_table.scan().count() == 4
+    assert catalog_table.plan("id > 2").first()["kept"] == 0 or catalog_table.plan("id > 2").first()["kept"] == 1
+    with pytest.raises(E.NothingRegistered):
+        register_known(catalog_table, known)
+    with pytest.raises(E.InvalidPartition):
+        register_known(catalog_table, known.withColumn("partition", F.create_map(F.lit("n"), F.lit("b"))).withColumn("file_path", F.lit("/x.parquet")))
+    with pytest.raises(E.InvalidInput):
+        register_known(catalog_table, known.drop("record_count"))
+    assert [str(f.transform) for f in parse_identity_spec("id:long", Schema.of(people(spark).schema))] == ["identity"]
+    with pytest.raises(E.InvalidInput):
+        parse_identity_spec("id:string", Schema.of(people(spark).schema))
+
+
+def test_time_travel_has_the_columns_of_its_time(catalog, spark):
+    table, _ = append_or_create(catalog, "db.t", people(spark, (1, "a")))
+    first = table.metadata.current_snapshot_id
+    table.append(spark.createDataFrame([(2, "b", 30)], "id long, name string, age long"), ADD_FIELDS)
+    assert table.scan(snapshot_id=first).columns == ["id", "name"] and table.scan(snapshot_id=first).count() == 1
+    assert table.scan().columns == ["id", "name", "age"]
+    with pytest.raises(E.InvalidFilter):
+        table.scan("age > 3", snapshot_id=first)
+
+
+def test_void_partitions_and_bytes(catalog, spark):
+    df = spark.createDataFrame([(1, bytearray(b"\x01\xff")), (2, None), (3, bytearray(b"z"))], "id long, b binary")
+    table, _ = append_or_create(catalog, "db.t", df, "id:void=v")
+    assert {r["partition"].get("v") for r in table.files_with_stats().collect()} == {None}
+    assert [r["id"] for r in table.scan("b = X'01ff'").collect()] == [1] and table.scan("b IN (x'7A', X'')").count() == 1
+    assert table.scan("id = 2").count() == 1

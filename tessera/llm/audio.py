@@ -2,9 +2,10 @@
 
 PCM is cut into overlapping frames whose spectra are folded into twelve pitch
 classes.  Rectangle filters over the integral image of these frames give 2 bits
-each, 32 a position, packed into one integer.  Each query is laid over every
-other recording at every offset, and bit errors over the whole overlap decide:
-how many bits agree at all offsets at once is a correlation of 32 channels.
+each, 32 a position, packed into one integer.  Each query meets every other
+recording: the signs of four filters vote for the offsets at which they agree
+(the histogram over all offsets at once is a correlation of four channels), and
+bit errors over the whole overlap decide on the offsets with enough votes.
 """
 
 from __future__ import annotations
@@ -21,16 +22,20 @@ from pyspark.sql import functions as F
 from .common import cut, thin
 
 RATE, FRAME, HOP = 4000, 512, 128
-SPAN = 8
+SPAN = 32
 #: Integers that must overlap (all of a shorter recording), and the largest share of wrong bits of a match.
-OVERLAP, BIT_ERRORS = 13, 0.25
+OVERLAP, BIT_ERRORS = 64, 0.15
+#: Bits that vote, the signs of every fourth filter, and the share of them that must agree.
+VOTERS, VOTES = (1, 9, 17, 25), 0.78
 #: Recordings and queries that are correlated together, fewer of long ones: so many integers at most.
 NODES, QUERIES, BLOCK = 64, 128, 1 << 16
 #: Up to this length of a transform single precision counts bits without error.
 SINGLE = 1 << 14
 
-#: Sixteen filters (kind, first pitch class, classes, frames), made by a rule: kinds in turn, growing sizes.
-FILTERS = [(i % 4, (i * 5) % 12, 2 + i % 4, 2 + 2 * (i % 4)) for i in range(16)]
+#: Sixteen filters (kind, first pitch class, classes, frames), made by a rule: kinds in turn, half an octave where a part of it would mostly be silent.
+FILTERS = [(i % 4, (i * 5) % 12, (6, 4, 3, 5)[i // 4] if i % 2 == 0 else 6, 8 * (1 + (i // 4 + i) % 4)) for i in range(16)]
+#: Levels of a filter's value a frame.
+LEVELS = (-0.15, 0.0, 0.15)
 
 
 def to_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -84,18 +89,18 @@ def fingerprint(x: np.ndarray) -> np.ndarray:
     at = np.arange(n)
     box = lambda t0, t1, p0, p1: area[at + t1, p1] - area[at + t0, p1] - area[at + t1, p0] + area[at + t0, p0]
     out = np.zeros(n, np.uint32)
-    for i, (kind, p, classes, frames) in enumerate(FILTERS):
-        q, m, h, half = p + 2 * classes, p + classes, frames // 2, frames
+    for kind, p, classes, frames in FILTERS:
+        q, m, h = p + 2 * classes, p + classes, frames // 2
         if kind == 0:  # low against high classes
-            value = box(0, half, p, m) - box(0, half, m, q)
+            value = box(0, frames, p, m) - box(0, frames, m, q)
         elif kind == 1:  # before against after
-            value = box(0, h, p, q) - box(h, half, p, q)
+            value = box(0, h, p, m) - box(h, frames, p, m)
         elif kind == 2:  # checkerboard
-            value = box(0, h, p, m) + box(h, half, m, q) - box(0, h, m, q) - box(h, half, p, m)
+            value = box(0, h, p, m) + box(h, frames, m, q) - box(0, h, m, q) - box(h, frames, p, m)
         else:  # middle against both sides
-            third = max(1, frames // 3)
-            value = box(third, half - third, p, m) - 0.5 * (box(0, third, p, m) + box(half - third, half, p, m))
-        level = np.digitize(value, (-0.2, 0.0, 0.2))
+            third = frames // 3
+            value = box(third, frames - third, p, m) - 0.5 * (box(0, third, p, m) + box(frames - third, frames, p, m))
+        level = np.digitize(value / frames, LEVELS)
         out = (out << np.uint32(2)) | (level ^ (level >> 1)).astype(np.uint32)  # neighbouring levels differ in one bit
     return out
 
@@ -137,10 +142,10 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(run, "ids array<bigint>, sizes array<int>, codes binary")
 
 
-def _signs(sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def _signs(sizes: np.ndarray, codes: np.ndarray, channels: tuple[int, ...]) -> np.ndarray:
     """Bits as +1 and -1: (recording, channel, position), zeros beyond a recording's end."""
-    out = np.zeros((len(sizes), 32, sizes.max()), np.float32)
-    bits = 2.0 * ((codes[:, None] >> np.arange(32, dtype=np.uint32)) & 1) - 1
+    out = np.zeros((len(sizes), len(channels), sizes.max()), np.float32)
+    bits = 2.0 * ((codes[:, None] >> np.array(channels, np.uint32)) & 1) - 1
     for i, (end, size) in enumerate(zip(np.cumsum(sizes), sizes, strict=True)):
         out[i, :, :size] = bits[end - size : end].T
     return out
@@ -151,8 +156,19 @@ def _spectra(signs: np.ndarray, length: int) -> np.ndarray:
     return np.ascontiguousarray(np.fft.rfft(signs if length <= SINGLE else signs.astype(np.float64), length, axis=2).transpose(2, 0, 1))
 
 
-def _best(ids: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], agree: np.ndarray, length: int) -> list[tuple[int, int, int, float]]:
-    """(query, node, offset, bit_errors) of each query's best among these recordings; ``agree``: (query, node, offset modulo length)."""
+def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> float:
+    """Share of wrong bits where a, begun at ``offset`` of b, overlaps it."""
+    x, y = a[max(0, -offset) : len(b) - offset], b[max(0, offset) : offset + len(a)]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) / (32 * len(x))
+
+
+def _best(ids: tuple[np.ndarray, np.ndarray], codes: tuple[list, list], agree: np.ndarray, length: int, votes: float) -> list[tuple[int, int, int, float]]:
+    """(query, node, offset, bit_errors) of each query's best among these recordings.
+
+    ``agree``: (query, node, offset modulo length), the mean over the voters of
+    agreeing less other positions.
+    """
+    sizes = [np.array([len(c) for c in side]) for side in codes]
     longest, n = int(sizes[0].max()), sizes[1][:, None]
     offsets = np.arange(1 - longest, int(sizes[1].max()))
     agree = np.concatenate([agree[:, :, length - longest + 1 :], agree[:, :, : int(sizes[1].max())]], axis=2)
@@ -160,14 +176,13 @@ def _best(ids: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarra
     for q, (query, m) in enumerate(zip(ids[0].tolist(), sizes[0].tolist(), strict=True)):
         if m != last:
             last, overlap = m, np.minimum(m, n - offsets) - np.maximum(0, -offsets)
-            # That many more bits must agree than not, or nearly so: the exact share is worked out for these alone.
-            least = np.where(overlap >= np.minimum(OVERLAP, np.minimum(m, n)), 32 * (1 - 2 * BIT_ERRORS) * overlap - 1, np.inf).astype(agree.dtype)
-        i, j = np.nonzero(agree[q] >= least)
-        bits = 32 * overlap[i, j]
-        errors = np.where(ids[1][i] == query, 1.0, np.rint((bits - agree[q, i, j]) / 2) / bits)
-        if len(errors) and (lowest := errors.min()) <= BIT_ERRORS:
-            node, offset = min((int(ids[1][i[k]]), int(offsets[j[k]])) for k in np.flatnonzero(errors == lowest))
-            found.append((query, node, offset, float(lowest)))
+            least = np.where(overlap >= np.minimum(OVERLAP, np.minimum(m, n)), (2 * votes - 1) * overlap - 0.01, np.inf).astype(agree.dtype)
+        best = (BIT_ERRORS, np.inf, 0)
+        for j, k in zip(*(x.tolist() for x in np.nonzero(agree[q] >= least)), strict=True):
+            if ids[1][j] != query and (errors := bit_errors(codes[0][q], codes[1][j], int(offsets[k]))) <= best[0]:
+                best = min(best, (errors, int(ids[1][j]), int(offsets[k])))
+        if best[1] < np.inf:
+            found.append((query, best[1], best[2], best[0]))
     return found
 
 
@@ -177,10 +192,10 @@ def _matches(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}  # the last spectra of either side, which come again and again
 
-        def spectra(side: int, sizes: np.ndarray, raw: bytes, length: int) -> np.ndarray:
-            if side not in held or held[side][:2] != (raw, length):
-                held[side] = raw, length, _spectra(_signs(sizes, np.frombuffer(raw, "<u4")), length)
-            return held[side][2]
+        def spectra(side: int, sizes: np.ndarray, raw: bytes, length: int, voters: tuple[int, ...]) -> np.ndarray:
+            if side not in held or held[side][:3] != (raw, length, voters):
+                held[side] = raw, length, voters, _spectra(_signs(sizes, np.frombuffer(raw, "<u4"), voters), length)
+            return held[side][3]
 
         for batch in batches:
             found = []
@@ -188,13 +203,17 @@ def _matches(pairs: DataFrame) -> DataFrame:
                 row = [batch.column(i)[r].as_py() for i in range(6)]
                 ids = np.array(row[0]), np.array(row[3])
                 sizes = np.array(row[1]), np.array(row[4])
+                codes = tuple(np.split(np.frombuffer(row[3 * k + 2], "<u4"), np.cumsum(sizes[k])[:-1]) for k in (0, 1))
                 length = 1 << int(sizes[0].max() + sizes[1].max() - 2).bit_length()
-                left, right = (spectra(k, sizes[k], row[3 * k + 2], length) for k in (0, 1))
+                # Few positions are few votes: there all bits vote, and those of a match are enough.
+                short = min(sizes[0].min(), sizes[1].min()) < OVERLAP
+                voters, votes = (tuple(range(32)), 1 - BIT_ERRORS) if short else (VOTERS, VOTES)
+                left, right = (spectra(k, sizes[k], row[3 * k + 2], length, voters) for k in (0, 1))
                 for start in range(0, len(ids[0]), 16):
                     some = slice(start, start + 16)
                     product = np.conj(left[:, some]) @ right.transpose(0, 2, 1)
-                    agree = np.fft.irfft(np.ascontiguousarray(product.transpose(1, 2, 0)), length, axis=2)
-                    found += _best((ids[0][some], ids[1]), (sizes[0][some], sizes[1]), agree, length)
+                    agree = np.fft.irfft(np.ascontiguousarray(product.transpose(1, 2, 0)), length, axis=2) / len(voters)
+                    found += _best((ids[0][some], ids[1]), (codes[0][some], codes[1]), agree, length, votes)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["query", "node", "offset", "bit_errors"])
 
@@ -206,8 +225,9 @@ def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``prints``: (id, codes) of all; ``queries``: ids.  A match is an offset at
     which OVERLAP integers or more overlap, all of a recording that has fewer,
-    with at most BIT_ERRORS of their bits wrong; every offset of every other
-    recording is looked at.  Recordings of equal codes are compared once, under
+    with at most BIT_ERRORS of their bits wrong.  Every other recording is
+    looked at, by the votes of VOTERS at every offset; with fewer integers than
+    OVERLAP all bits vote.  Recordings of equal codes are compared once, under
     their smallest id; a query of a group of them that isn't that id matches it
     with no errors.  Ties go to the smaller id.
     """

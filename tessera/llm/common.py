@@ -137,6 +137,11 @@ def buckets_for(df: DataFrame, bucket_bytes: int = 64 << 20, least: int = 32) ->
     return max(least, min(1 << 16, -(-size // bucket_bytes)))
 
 
+def by_bucket(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """Rows in the tasks that write their buckets: each bucket becomes one sorted file."""
+    return df.repartitionById(buckets, F.pmod(F.hash(column), F.lit(buckets)).cast("int"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BatchLog, ascii_lower, cut, fresh_path, settled
+from .common import BatchLog, ascii_lower, by_bucket, cut, fresh_path, settled
 
 BUCKETS = 32
 
@@ -46,8 +46,7 @@ class DigestIndex:
         """Add rows (digest, keep_id) of a batch and log it; each bucket gets one sorted file a batch."""
         attempt = uuid.uuid4().hex
         (
-            groups.select("digest", "keep_id", F.lit(attempt).alias("attempt"))
-            .repartition(self.buckets, "digest")
+            by_bucket(groups.select("digest", "keep_id", F.lit(attempt).alias("attempt")), self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .format("parquet")

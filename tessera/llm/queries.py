@@ -51,7 +51,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    index = substring_dedup.new_index(spark, buckets_for(docs), max_runs=2)  # so that three batches are compacted once
+    index = substring_dedup.new_index(spark, buckets_for(docs), max_runs=1)  # so that its two batches are compacted
     found = substring_dedup.dedup_in_batches(docs, index)
     index.close()
     delete_path(spark, index.path)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import BatchLog, cut, delete_path, fresh_path, release, settled
+from .common import BatchLog, by_bucket, cut, delete_path, fresh_path, release, settled
 from .words import SPACES, Words, signed, words_of
 
 WINDOW, GRAM = 35, 8
@@ -70,16 +70,11 @@ class FingerprintIndex:
         return self._logged(self.spark.table(self.name))
 
     def runs(self) -> int:
-        """Sorted files of the fullest bucket."""
-        counts: dict[str, int] = {}
-        for f in self._storage.names(self.at):
-            if f.startswith("part-"):
-                bucket = f.rsplit("_", 1)[-1]
-                counts[bucket] = counts.get(bucket, 0) + 1
-        return max(counts.values(), default=0)
+        """Batches that this generation holds as runs of their own, besides what was compacted."""
+        return len(self.log.entries()) - settled(self.spark, self.path, f"runs-{self.generation}", 0)
 
     def _write(self, rows: DataFrame, name: str, at: str) -> None:
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").mode("append").option("path", at).saveAsTable(name)
+        by_bucket(rows, self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").mode("append").option("path", at).saveAsTable(name)
 
     def add(self, rows: DataFrame, batch: str) -> None:
         """Write what ``document_rows`` found, read once and written, as a new run; nothing if the batch is logged."""
@@ -98,6 +93,8 @@ class FingerprintIndex:
         rows, old = self._logged(self.spark.read.parquet(self.at)), self.at
         new = f"{self.path}/generation-{self.generation + 1}"
         delete_path(self.spark, new)  # what an earlier attempt may have left
+        # What was compacted is one run with those that come.
+        settled(self.spark, self.path, f"runs-{self.generation + 1}", len(self.log.entries()) - 1)
         self._write(rows, self._table(new), new)
         self._open(self.generation + 1)
         delete_path(self.spark, old)
@@ -343,7 +340,7 @@ def substring_dedup(docs: DataFrame, index: FingerprintIndex, history: DataFrame
     return judge(texts, per_doc, index, batch, window, gram)
 
 
-def dedup_in_batches(docs: DataFrame, index: FingerprintIndex, batches: int = 3, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_in_batches(docs: DataFrame, index: FingerprintIndex, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``substring_dedup`` of a whole table that reaches ``index`` in several batches and is judged when all are there."""
     rows, _ = keyed(docs)
     own = F.pmod(F.xxhash64("key"), F.lit(batches))

@@ -25,6 +25,7 @@ from .words import SPACES, Words, signed, words_of
 
 WINDOW, GRAM = 35, 8
 BUCKETS = 32
+ROWS = "fp BIGINT, key BIGINT, n INT, attempt STRING"
 
 
 class FingerprintIndex:
@@ -52,7 +53,7 @@ class FingerprintIndex:
     def _table(self, at: str) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
         self.spark.sql(
-            f"CREATE TABLE {name} (fp BIGINT, key BIGINT, n INT, attempt STRING) USING parquet "
+            f"CREATE TABLE {name} ({ROWS}) USING parquet "
             f"CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{at}'"
         )
         self._names.append(name)
@@ -90,7 +91,7 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one generation, then drop the old one."""
         # Read as plain files: known buckets would make Spark leave out the exchange that brings a bucket's runs together.
-        rows, old = self._logged(self.spark.read.parquet(self.at)), self.at
+        rows, old = self._logged(self.spark.read.schema(ROWS).parquet(self.at)), self.at
         new = f"{self.path}/generation-{self.generation + 1}"
         delete_path(self.spark, new)  # what an earlier attempt may have left
         # What was compacted is one run with those that come.

@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, unused
+
 # Base patterns in the order of their kinds, with a cheap test that no match fails.
 _LOCAL = "[A-Za-z0-9._%+\\-]"
 BASE = {
@@ -84,25 +86,47 @@ _VALID = {
     "phone": "length(regexp_replace(m, '[^0-9]', '')) BETWEEN 9 AND 15",
 }
 _SPAN = "array<struct<start:int,k:int,stop:int,m:string,before:string>>"
+#: Elements that a running state goes over at a time; arrays are only appended to within so many.
+RUN = 256
+#: Characters of the pieces that a text is cut into for taking parts of it; finding a place costs a piece, not the text.
+PIECE = 4096
+
+
+def _running(items: str, first: str, after: str, each: str, kind: str) -> str:
+    """SQL: ``each`` of every element x of ``items`` and the state s before it; ``after`` is the state after it.
+
+    ``items`` must be the name of a lambda variable or column.  Work is linear:
+    states at the heads of runs come first, then each run is gone over by itself.
+    """
+    heads, part = f"sequence(0, CAST((size({items}) - 1) div {RUN} AS int))", f"slice({items}, j * {RUN} + 1, {RUN})"
+    states = f"aggregate({heads}, named_struct('s', {first}, 'a', CAST(array() AS array<int>)), (c, j) -> named_struct('s', aggregate({part}, c.s, (s, x) -> {after}), 'a', concat(c.a, array(c.s))), c -> c.a)"
+    inner = f"transform(array(c.s), s -> named_struct('s', {after}, 'a', concat(c.a, array({each}))))[0]"
+    return (
+        f"CASE WHEN size({items}) = 0 THEN CAST(array() AS {kind}) ELSE flatten(zip_with({states}, {heads}, "
+        f"(h, j) -> aggregate({part}, named_struct('s', h, 'a', CAST(array() AS {kind})), (c, x) -> {inner}, c -> c.a))) END"
+    )
 
 
 def _spans(text: str, k: int) -> str:
-    """SQL: the spans of kind k, with what was matched and what stood before it.
+    """SQL: the spans of kind k in order, with what was matched and what stood before it.
 
     What lies between matches and the matches themselves give the places.
     """
     kind = KINDS[k]
     pattern, test = BASE.get(kind) or EXTRA[kind]
     valid = _VALID.get(kind, "true").replace("(m,", "(x.m,").replace("m RLIKE", "x.m RLIKE")
-    at = "s.p + length(x.g)"
-    return (
-        f"CASE WHEN {text} RLIKE {_sql(test)} THEN filter(aggregate("
-        f"zip_with(split({text}, {_sql(pattern)}, -1), regexp_extract_all({text}, {_sql(pattern)}, 0), (g, m) -> named_struct('g', g, 'm', m)), "
-        f"named_struct('p', 0, 'a', CAST(array() AS {_SPAN})), "
-        f"(s, x) -> CASE WHEN x.m IS NULL THEN s ELSE named_struct('p', {at} + length(x.m), 'a', "
-        f"concat(s.a, array(named_struct('start', {at}, 'k', {k}, 'stop', {at} + length(x.m), 'm', x.m, 'before', right(x.g, {CONTEXT_CHARACTERS}))))) END, "
-        f"s -> s.a), x -> {valid}) ELSE CAST(array() AS {_SPAN}) END"
-    )
+    pairs = f"zip_with(split({text}, {_sql(pattern)}, -1), regexp_extract_all({text}, {_sql(pattern)}, 0), (g, m) -> named_struct('g', length(g), 'm', m, 'before', right(g, {CONTEXT_CHARACTERS})))"
+    at = "s + x.g"
+    span = f"named_struct('start', {at}, 'k', {k}, 'stop', {at} + length(x.m), 'm', x.m, 'before', x.before)"
+    placed = f"transform(array(filter({pairs}, x -> x.m IS NOT NULL)), z -> {_running('z', '0', f'{at} + length(x.m)', span, _SPAN)})[0]"
+    return f"CASE WHEN {text} RLIKE {_sql(test)} THEN filter({placed}, x -> {valid}) ELSE CAST(array() AS {_SPAN}) END"
+
+
+def _touches(spans: str, e: str) -> str:
+    """SQL: whether span ``e`` overlaps one of ``spans``, which are in order and don't overlap one another; by halving."""
+    middle = "CAST((s.low + s.high) div 2 AS int)"
+    halved = f"CASE WHEN s.low >= s.high THEN s WHEN get({spans}, {middle}).start < {e}.stop THEN named_struct('low', {middle} + 1, 'high', s.high) ELSE named_struct('low', s.low, 'high', {middle}) END"
+    return f"aggregate(sequence(1, 31), named_struct('low', 0, 'high', size({spans})), (s, i) -> {halved}, s -> coalesce(get({spans}, s.low - 1).stop > {e}.start, false))"
 
 
 def _vote(good: str, bad: str = "false") -> str:
@@ -126,29 +150,36 @@ def _judged() -> str:
     )
 
 
-def candidates(docs: DataFrame, text: str = "text") -> tuple[Column, Column]:
-    """(base spans, further candidates) of each row; candidates that touch a base span are left out."""
+def candidates(text: str = "text") -> tuple[Column, Column]:
+    """(base spans, an array for each kind; further candidates) of a text column."""
     quoted = f"coalesce(`{text}`, '')"
-    base = f"array_sort(concat({', '.join(_spans(quoted, k) for k in range(len(BASE)))}))"
+    base = f"array({', '.join(_spans(quoted, k) for k in range(len(BASE)))})"
     extra = f"concat({', '.join(_spans(quoted, k) for k in range(len(BASE), len(KINDS)))})"
     return F.expr(base), F.expr(extra)
 
 
-def judged(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns, base and extra spans with votes and features."""
-    base, extra = candidates(docs)
-    raw = docs.select(*keep, base.alias("_base"), extra.alias("_extra"))
-    apart = "filter(_extra, e -> NOT exists(_base, b -> e.start < b.stop AND b.start < e.stop))"
-    return raw.select(*keep, F.expr(f"transform(_base, x -> {_judged()})").alias("_base"), F.expr(f"transform({apart}, x -> {_judged()})").alias("_extra"))
+def judged(docs: DataFrame, keep: list[str], base: str = "_base", extra: str = "_extra") -> DataFrame:
+    """``keep`` columns, and base and extra spans with votes and features under these names.
+
+    Candidates that touch a base span are left out.
+    """
+    kinds, further = candidates()
+    raw = docs.select(*(F.col(f"`{c}`") for c in keep), kinds.alias(base), further.alias(extra))
+    apart = f"filter(`{extra}`, e -> NOT exists(`{base}`, b -> {_touches('b', 'e')}))"
+    return raw.select(
+        *(F.col(f"`{c}`") for c in keep),
+        F.expr(f"transform(array_sort(flatten(`{base}`)), x -> {_judged()})").alias(base),
+        F.expr(f"transform(CASE WHEN size(`{extra}`) = 0 THEN `{extra}` ELSE {apart} END, x -> {_judged()})").alias(extra),
+    )
 
 
 LABELERS = ("shape", "listed", "context")
 FEATURES = ("k", *LABELERS, "long", "digits", "edge")
 
 
-def pattern_counts(spans: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+def pattern_counts(spans: DataFrame, base: str = "_base", extra: str = "_extra") -> list[tuple[tuple[int, ...], int]]:
     """How many spans of all documents have each combination of kind, votes and features (some thousands at most)."""
-    each = spans.select(F.explode(F.concat("_base", "_extra")).alias("x"))
+    each = spans.select(F.explode(F.concat(base, extra)).alias("x"))
     rows = each.groupBy(*(F.col(f"x.{f}").alias(f) for f in FEATURES)).agg(F.count(F.lit(1)).alias("n")).collect()
     return sorted((tuple(r[f] for f in FEATURES), r["n"]) for r in rows)
 
@@ -224,17 +255,16 @@ def _accepted(weights: list[float]) -> str:
     return f"({bias!r}D + {by_kind} + {either('shape', shape1, shape0)} + {either('listed', listed, 0.0)} + {either('context', context1, context0)} + x.long * {long / 4!r}D + x.digits * {digits / 4!r}D + x.edge * {edge!r}D) >= 0"
 
 
-def fit(spans: DataFrame) -> list[float]:
+def fit(spans: DataFrame, base: str = "_base", extra: str = "_extra") -> list[float]:
     """The classifier's weights from the spans of all documents (output of ``judged``)."""
-    counts = pattern_counts(spans)
+    counts = pattern_counts(spans, base, extra)
     _, _, probabilities = reliabilities(counts)
     return train(counts, probabilities)
 
 
-def accepted_spans(spans: DataFrame, weights: list[float]) -> DataFrame:
-    """Replace ``_extra`` by all spans that stand: base ones, and those the classifier takes; by start, then kind."""
-    taken = f"array_sort(concat(_base, filter(_extra, x -> {_accepted(weights)})))"
-    return spans.withColumn("_all", F.expr(taken)).drop("_extra")
+def accepted(weights: list[float], base: str = "_base", extra: str = "_extra") -> Column:
+    """All spans that stand: base ones, and those the classifier takes; by start, then kind."""
+    return F.expr(f"array_sort(concat(`{base}`, filter(`{extra}`, x -> {_accepted(weights)})))")
 
 
 def _joined(column: str) -> str:
@@ -250,10 +280,8 @@ def find(docs: DataFrame) -> DataFrame:
     but for the estimates, which all rows share: repeats come out alike, null
     ids stay null, an empty table gives no rows.  Further columns are ignored.
     """
-    from .common import cut
-
-    spans = cut(judged(docs, "doc_id"))
-    found = accepted_spans(spans, fit(spans))
+    spans = cut(judged(docs, ["doc_id"]))
+    found = spans.withColumn("_all", accepted(fit(spans)))
     count = lambda k: F.expr(f"CAST(size(filter(_base, x -> x.k = {k})) AS bigint)")
     return found.select(
         "doc_id",
@@ -264,15 +292,25 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become the first one's."""
-    weights = fit(judged(docs, "doc_id"))
-    columns = docs.columns
-    found = accepted_spans(judged(docs, *(F.col(f"`{c}`") for c in columns)), weights)
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become the first one's.
+
+    Spans are found once: they are kept with the rows while the estimates are
+    made.  A null text stays null, an empty table gives no rows, repeated rows
+    come out alike, and columns of any names are kept.
+    """
+    own = unused(docs, "base", "extra", "all", "cut")
+    found = cut(judged(docs, docs.columns, own["base"], own["extra"]))
+    spans, pieces = own["all"], own["cut"]
+    found = found.withColumn(spans, accepted(fit(found, own["base"], own["extra"]), own["base"], own["extra"]))
+    found = found.withColumn(pieces, F.expr(f"CASE WHEN size(`{spans}`) > 0 THEN regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0) END"))
     name = "CASE x.k " + " ".join(f"WHEN {k} THEN '[{kind.upper()}]'" for k, kind in enumerate(KINDS)) + " END"
-    cleaned = (
-        "CASE WHEN size(_all) = 0 THEN text ELSE aggregate(_all, named_struct('p', 0, 'out', ''), "
-        "(s, x) -> CASE WHEN x.start < s.p THEN named_struct('p', greatest(s.p, x.stop), 'out', s.out) "
-        f"ELSE named_struct('p', x.stop, 'out', concat(s.out, substring(text, s.p + 1, x.start - s.p), {name})) END, "
-        "s -> concat(s.out, substring(text, s.p + 1, length(text)))) END"
+    begin = f"greatest({{a}} - i * {PIECE}, 0)"
+    part = lambda a, b: (
+        f"CASE WHEN {a} >= {b} THEN '' ELSE array_join(transform(sequence(CAST({a} div {PIECE} AS int), CAST(({b} - 1) div {PIECE} AS int)), "
+        f"i -> substring(get(`{pieces}`, i), {begin.format(a=a)} + 1, least({b} - i * {PIECE}, {PIECE}) - {begin.format(a=a)})), '') END"
     )
-    return found.withColumn("text", F.expr(cleaned)).select(*(F.col(f"`{c}`") for c in columns))
+    each = f"CASE WHEN x.start < s THEN '' ELSE concat({part('s', 'x.start')}, {name}) END"
+    last = f"array_max(transform(`{spans}`, x -> x.stop))"
+    rest = f"transform(array({last}), s -> {part('s', 'length(text)')})[0]"
+    cleaned = f"CASE WHEN text IS NULL OR size(`{spans}`) = 0 THEN text ELSE concat(array_join({_running(f'`{spans}`', '0', 'greatest(s, x.stop)', each, 'array<string>')}, ''), {rest}) END"
+    return found.withColumn("text", F.expr(cleaned)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -465,13 +465,50 @@ def test_pii(spark, odd, none):
         assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
 
 
-def test_pii_redaction(spark, odd):
+def test_pii_redaction(spark, odd, none):
     from tessera.llm import pii
 
     df = spark.createDataFrame([(1, "mail x@y.com now, call +1 (234) 555-1234."), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
     assert got == {1: "mail [EMAIL] now, call [PHONE].", 2: None, 3: "clean"}
-    assert pii.redact(odd.drop("_base")).columns == odd.drop("_base").columns
+    for docs in (odd, none):
+        got = pii.redact(docs)
+        assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_pii_redaction_as_its_spans(spark, odd):
+    """Texts put together from the spans that ``find`` gives, of many places and of characters beyond ASCII."""
+    from tessera.llm import pii
+
+    random.seed(9)
+    bits = ["é😀", "x@y.z ", "+1 (234) 555-1234", "1.2.3.4", "Mr. Anna Smith ", "a [at] b.com", "word ", "4111 1111 1111 1111", "1" * 300, "😀" * 500, "n@m.org,"]
+    texts = {i: "".join(random.choice(bits) for _ in range(random.choice([0, 3, 20, 900]))) for i in range(60)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").withColumn("_base", F.lit(1)).withColumn("_extra", F.lit(2)).withColumn("_all", F.lit(3)).withColumn("_cut", F.lit(4)).withColumn("a`b", F.lit(5)).drop("a`b")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        text, out, at = texts[r["doc_id"]], [], 0
+        for kind, start, stop in (x.split(":") for x in spans[r["doc_id"]].split(",") if x):
+            if int(start) >= at:
+                out += [text[at : int(start)], f"[{kind.upper()}]"]
+            at = max(at, int(stop))
+        assert r["text"] == "".join(out) + text[at:]
+
+
+def test_pii_of_many_places(spark):
+    """64,000 addresses in one text, and as many candidates beside them, take seconds."""
+    import time
+
+    from tessera.llm import pii
+
+    docs = spark.createDataFrame([(1, "a@b.c, " * 64_000), (2, "x [at] y.com 1.2.3.4 é " * 30_000)], "doc_id long, text string").repartition(2)
+    start = time.time()
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert (got[1]["n_email"], got[1]["spans"].count("email")) == (64_000, 64_000) and got[2]["n_ip"] == 30_000
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert texts[1] == "[EMAIL], " * 64_000 and texts[2].count("[IP] é ") == 30_000
+    assert time.time() - start < 100
 
 
 def test_reliabilities_find_the_better_labeler():

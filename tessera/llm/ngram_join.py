@@ -31,7 +31,7 @@ from .words import SPACES, mix, signed, words_of
 
 WORDS, PERCENT = 5, 75
 #: Frequent shingles that the order knows; all others count as rare.
-FREQUENT = 50_000
+FREQUENT = 200_000
 #: Cost of showing one more shingle is 1; of verifying a candidate, so much a shingle.
 VERIFY_COST = 0.05
 #: Occurrences beside its own that a rare shingle is taken to have.
@@ -40,7 +40,7 @@ RARE_PARTNERS = 0.2
 SALT_ROWS = 100_000
 #: Shingles that a task counts together, and how often one of them must be among these to be reported: what
 #: is known of a shingle is too low by less than that for each so many shingles of the table, never too high.
-COUNTED, REPORTED = 1 << 21, 4
+COUNTED, REPORTED = 1 << 21, 2
 #: Rounds of further leaders before what is left is joined whole.  They end early when they find little, and
 #: are not needed where lists hold at most so many pairs a row.
 CROWDED = 4
@@ -144,11 +144,20 @@ def _totals(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
+def _first_of_equal(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Whether each set is the first of its equals among these."""
+    _, one = np.unique(np.stack([s1, s2], axis=1), axis=0, return_index=True)
+    out = np.zeros(len(s1), bool)
+    out[one] = True
+    return out
+
+
 def signatures(rows: DataFrame, k: int) -> DataFrame:
     """Per document: key, doc_id, n shingles, signature (s1, s2); and what its task met often (tokens, counts).
 
-    A task counts COUNTED shingles at a time and reports those that it met
-    REPORTED times, with the row it has come to.
+    A task counts COUNTED shingles at a time, those of equal sets that it reads
+    together once, and reports what it met REPORTED times with the row it has
+    come to.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +181,9 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
             grams, first, _ = shingle_sets(texts, k)
             s1, s2 = _totals(grams, first)
             last = part.select(["key", "doc_id"]), pa.array(np.diff(first)), pa.array(signed(s1)), pa.array(signed(s2))
-            held.append(grams)
-            size += len(grams)
+            alone = _first_of_equal(s1, s2)
+            held.append(grams[np.repeat(alone, np.diff(first))])
+            size += len(held[-1])
             if size >= COUNTED:
                 yield made(*last, *often())
                 held, size, last = [], 0, None
@@ -193,11 +203,11 @@ def frequent_shingles(signed_rows: DataFrame) -> Order:
         .where("count >= 16")
         .orderBy(F.desc("count"), "token")
         .limit(FREQUENT)
-        .collect()
+        .toArrow()
     )
     met = signed_rows.agg(F.sum("n")).first()[0] or 0
     missed = (REPORTED - 1) * (met // COUNTED + signed_rows.rdd.getNumPartitions())
-    return Order(np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64), missed)
+    return Order(top["token"].to_numpy().view(np.uint64), top["count"].to_numpy(), missed)
 
 
 def choose_l(places: np.ndarray, first: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,11 +236,7 @@ def prefixes(rows: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
             n = np.diff(first)
             level, docs = choose_l(places, first, order, percent)
             shown = np.where(n > 0, np.minimum(n - need(n, percent) + level, n), 0)
-            s1, s2 = _totals(grams, first)
-            _, one = np.unique(np.stack([s1, s2], axis=1), axis=0, return_index=True)
-            again = np.ones(len(n), bool)
-            again[one] = False
-            shown[again] = 0
+            shown[~_first_of_equal(*_totals(grams, first))] = 0
             at = np.repeat(first[:-1], shown) + np.arange(shown.sum()) - np.repeat(np.cumsum(shown) - shown, shown)
             of = np.repeat(np.arange(len(n)), shown)
             parts = np.maximum(1, -(-docs[at] // SALT_ROWS))

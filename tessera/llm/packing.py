@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import slices
 
@@ -182,13 +183,15 @@ def tokenizer(path: str, pattern: str, added: str | None = None) -> tiktoken.Enc
     return _TOKENIZERS[path, pattern, added]
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), added: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), added: str | None = None, bears: Column | None = None) -> DataFrame:
     """Tokenize and pack all documents; one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and ids (the piece itself, little-endian unsigned 32-bit).  A document's ids
     are those of its whole text and then ``end_id``; each id is in one piece.
-    All ids of a document bear loss but its first.  sequence_id is unique over
+    All ids of a document bear loss but its first; with ``bears``, a condition on
+    its row, only those of documents that satisfy it (null: not), as in
+    instruction data, where answers do and questions don't.  sequence_id is unique over
     the table; a lost task repeats the same ids, as it reads the same rows.
 
     A null or empty text is one id.  The added tokens of the tokenizer file
@@ -216,10 +219,10 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, li
                     held[document] = (doc_id, ids, open_ids - length)
 
         for part, texts in slices(batches):
-            for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
+            for doc_id, bearing, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts, strict=True):
                 ids = np.array([*own.encode(text, allowed_special="all"), end_id], "<u4")
                 held[number] = (doc_id, ids, len(ids))
-                place(packer.add(number, len(ids), len(ids) - 1))
+                place(packer.add(number, len(ids), len(ids) - 1 if bearing else 0))
                 number += 1
             if rows:
                 yield _piece_rows(rows)
@@ -228,7 +231,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, li
         if rows:
             yield _piece_rows(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text", (F.lit(True) if bears is None else bears).alias("bears")).mapInArrow(
         run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
     )
 

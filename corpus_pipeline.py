@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
-it kept; all but the last return the columns of documents.
+it kept; all but the last return the columns of documents, whatever else they
+are called besides doc_id and text.  No stage fails on null ids or texts, empty
+or very long texts, repeated rows or an empty table; what each does with them is
+said at the stage.
 """
 
 from __future__ import annotations
@@ -13,11 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, packing, pii, toxicity
-from tessera.llm.common import cut, delete_path, fresh_path, keep_ids, table, unused
+from tessera.llm.common import buckets_for, cut, delete_path, fresh_path, keep_ids, table, unused
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier (op 6) predicts to be harmless."""
+    """Documents that the toxicity classifier (op 6) predicts to be harmless.
+
+    Rows are judged by their texts alone, a null one as an empty one; repeated
+    rows stay or go together, and without labels all stay.
+    """
     score = unused(docs, "score")["score"]
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, score).where(F.col(score) < 0.5).drop(score)
@@ -37,11 +44,16 @@ def _judged_by_row(docs: DataFrame, first: Column, judge: Callable[[DataFrame],
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row, that with the largest doc_id (op 10)."""
+    """Of equal texts one row, that with the largest doc_id (op 10).
+
+    A null text equals an empty one, so one of all these stays.  Null ids are
+    the smallest; of rows with one id and text one stays.
+    """
 
     def judge(rows: DataFrame) -> DataFrame:
-        index = exact_dedup.new_index(spark)
+        index = exact_dedup.new_index(spark, buckets_for(docs))
         kept = cut(exact_dedup.exact_dedup(rows, index).where("kept").select("doc_id"))
+        index.close()
         delete_path(spark, index.path)
         return kept
 
@@ -49,7 +61,11 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join one row, that with the smallest doc_id (op 9); those without words link with none."""
+    """Of documents that links join one row, that with the smallest doc_id (op 9).
+
+    Documents without words, null texts too, link with none and all stay.  Null
+    ids are the largest; of rows with one id in a group one stays.
+    """
 
     def judge(rows: DataFrame) -> DataFrame:
         found = ngram_join.ngram_components(rows)
@@ -59,7 +75,10 @@ def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data (op 8) gives way to its kind in brackets; n_chars follows the text."""
+    """Personal data (op 8) gives way to its kind in brackets; n_chars, where there is one, follows the text.
+
+    A null text stays null, with its n_chars; all rows stay, repeated ones alike.
+    """
     redacted = pii.redact(docs)
     if "n_chars" not in docs.columns:
         return redacted
@@ -67,7 +86,11 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 2048 tokens (op 5)."""
+    """Training sequences of at most 2048 tokens (op 5): a row for each piece.
+
+    A null or empty text is one token, its end; repeated rows are packed as
+    often as they occur, null ids stay null, an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=public_tokenizers.path("byte_bpe_50k.json"))
 
 

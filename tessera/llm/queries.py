@@ -75,6 +75,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op 3 SQL can express: the places and labels of the base phrases."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op 8 SQL can express: how many spans of each base kind there are."""
+    return op8_pii(spark, sf_dir).select("doc_id", *(f"n_{kind}" for kind in pii.BASE))
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op 4 SQL can express: the digest of what the ids decode to."""
+    return op4_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -87,11 +102,34 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_ngram_join": op9_ngram_join,
         "op10_exact_dedup": op10_exact_dedup,
+        "base_licenses": base_licenses,
+        "base_personal_data": base_personal_data,
+        "decoded_texts": decoded_texts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "base_licenses": r"""
+            WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+                 h AS (SELECT doc_id, i - 1 AS place, CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
+                                                        WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label
+                       FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+                 g AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h WHERE label IS NOT NULL GROUP BY doc_id)
+            SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(labels, '') AS base_labels FROM t LEFT JOIN g USING (doc_id)""",
+        "base_personal_data": r"""
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+                 m AS (SELECT doc_id, len(regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+                              regexp_extract_all(x, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+                              list_transform(regexp_extract_all(x, '[0-9]([\x20-]?[0-9])+'), lambda c: regexp_replace(c, '[^0-9]', '', 'g')) AS card,
+                              list_transform(regexp_extract_all(x, '\+[0-9][\x20().0-9-]+[0-9]'), lambda c: regexp_replace(c, '[^0-9]', '', 'g')) AS phone FROM t)
+            SELECT doc_id, n_email,
+                   len(list_filter(ip, lambda c: len(list_filter(string_split(c, '.'), lambda p: NOT coalesce(try_cast(p AS HUGEINT) <= 255, false))) = 0)) AS n_ip,
+                   len(list_filter(card, lambda c: length(c) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(c) + 1), lambda i:
+                       CASE WHEN i % 2 = 1 THEN CAST(reverse(c)[i] AS INT) ELSE 2 * CAST(reverse(c)[i] AS INT) // 10 + 2 * CAST(reverse(c)[i] AS INT) % 10 END)) % 10 = 0)) AS n_card,
+                   len(list_filter(phone, lambda c: length(c) BETWEEN 9 AND 15)) AS n_phone
+            FROM m""",
+        "decoded_texts": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
         "op1_warc": """
             WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
                  d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),

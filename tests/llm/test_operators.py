@@ -858,3 +858,89 @@ def test_packing_of_conversations(spark):
         bearing.append(sum(r["length"] - (r["start"] == 0) for r in pieces if rows[r["doc_id"]][1]))
         assert at <= limits.tokens and len(pieces) <= limits.segments and bearing[-1] <= limits.loss_tokens
     assert sum(b > 0.9 * limits.loss_tokens for b in bearing) > 0.5 * len(bearing)  # it does bind
+
+
+def test_toxicity_as_brute_force(spark):
+    """Lexicon, features, trees, calibration and scores, worked out again one text, word and node at a time."""
+    import math
+
+    import numpy as np
+
+    from tessera.llm import toxicity as X
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = X.fit(docs, labels)
+    texts = dict(rows_of(docs))
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in texts and r["toxic"] is not None}
+    n = Counter(known.values())
+    met = {1: Counter(), 0: Counter()}
+    for i, toxic in known.items():
+        words = {w for w in re.findall(r"[^\W\d_]+", (texts[i] or "").lower())}
+        met[toxic].update({e for w in words for e in [w, *(f"{w[:k]}-" for k in (3, 4, 5, 6) if len(w) > k)]})
+    want = {e: math.log((a + 0.2) / (n[1] + 0.4)) - math.log((met[0][e] + 0.2) / (n[0] + 0.4)) for e, a in met[1].items() if a >= X.LEXICON_SUPPORT and a > met[0][e]}
+    assert len(want) <= X.LEXICON_ENTRIES and model.lexicon.keys() == want.keys()
+    assert all(abs(model.lexicon[e] - v) < 1e-9 for e, v in want.items())
+
+    def seen(token):
+        words = re.findall(r"[^\W\d_]+", token)
+        entries = [e for w in words for e in [w, *(f"{w[:k]}-" for k in (3, 4, 5, 6) if len(w) > k)]]
+        return max([0.0, *(want.get(e, 0.0) for e in entries)]), any(w in X.INSULTS for w in words)
+
+    def brute_features(text):
+        rows = []
+        for token in text.split():
+            low = token.lower()
+            weight, insult = seen(low)
+            if odd_one := bool(X._INNER.search(low)):
+                again, hidden = seen(low.translate(X.LEET))
+                weight, insult = max(weight, again), insult or hidden
+            letters, upper, digits = (sum(f(c) for c in token) for f in (str.isalpha, str.isupper, str.isdigit))
+            rows.append((float(np.float32(weight)), insult, low.strip(".,;:!?\"'()[]") in X.SECOND_PERSON, letters > 1 and letters == upper, letters, upper, len(token) - letters - digits, token.count("!"), token.count("?"), digits, odd_one))
+        if not rows:
+            return [0.0] * len(X.FEATURES)
+        size, total = len(rows), [sum(c) for c in zip(*rows, strict=True)]
+        strong, person = [i for i, r in enumerate(rows) if r[0] >= X.STRONG or r[1]], [i for i, r in enumerate(rows) if r[2]]
+        near = sum(any(abs(i - j) <= X.NEAR for j in person) for i in strong) / len(strong) if strong else 0.0
+        top = sorted((r[0] for r in rows), reverse=True)[:3]
+        letters, every = max(1.0, total[4]), max(1.0, total[4] + total[6] + total[9])
+        return [
+            math.log1p(size), total[1] / size, math.log1p(total[1]), top[0], sum(r[0] for r in rows if r[0] > 1) / size, len(strong) / size, math.log1p(len(strong)), sum(top) / len(top), total[2] / size,
+            near, total[3] / size, total[5] / letters, total[6] / every, total[7] / size, total[8] / size, total[9] / every, total[10] / size, total[4] / size,
+        ]
+
+    def walk(tree, x, node=0):
+        return tree.value[node] if tree.feature[node] < 0 else walk(tree, x, tree.left[node] if x[tree.feature[node]] <= tree.cut[node] else tree.right[node])
+
+    table = X.TokenTable(model.lexicon)
+    got = {r["doc_id"]: r["score"] for r in X.score(docs, model).collect()}
+    for i, text in sorted(texts.items()):
+        mine = X.features(text or "", table)
+        assert np.allclose(mine, brute_features(text or ""), rtol=1e-5, atol=1e-6), i
+        margin = model.booster.base + sum(walk(t, mine) for t in model.booster.grown)
+        k = next((k for k, a in enumerate(model.at) if a >= margin), None)
+        if k in (0, None) or model.at[k] == margin:
+            p = model.probability[-1 if k is None else max(j for j, a in enumerate(model.at) if a == model.at[k]) if model.at[k] == margin else 0]
+        else:
+            a, b = model.at[k - 1], model.at[k]
+            p = model.probability[k - 1] + (model.probability[k] - model.probability[k - 1]) * (margin - a) / (b - a)
+        assert abs(got[i] - min(1, max(0, p * (1 - 1e-4) + 1e-4 / (1 + math.exp(-margin))))) < 1e-6, i
+
+
+def test_isotonic_as_brute_force():
+    """Pooled blocks are those of the largest lower bound of the means from here on."""
+    import numpy as np
+
+    from tessera.llm.toxicity import isotonic
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        score = rng.permutation(30).astype(float)
+        y = (rng.random(30) < score / 40).astype(float)
+        by = y[np.argsort(score)]
+        fit = [max(min(by[i : j + 1].mean() for j in range(k, 30)) for i in range(k + 1)) for k in range(30)]
+        at, p = isotonic(score, y)
+        want = []
+        for k in range(30):
+            block = [j for j in range(30) if abs(fit[j] - fit[k]) < 1e-12]
+            want.append((by[block].sum() + 0.05) / (len(block) + 0.1))
+        assert np.allclose(np.interp(np.arange(30), at, p), np.maximum.accumulate(want))

@@ -238,9 +238,8 @@ def test_packing(spark, odd, none, corpus):
     from tessera.llm.packing import Limits, pack_documents
 
     theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    theirs.encode_special_tokens = True
     for df, limits in ((odd, Limits()), (none, Limits()), (corpus, Limits()), (corpus, Limits(256, 3, 200))):
-        got = pack_documents(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, limits=limits).collect()
+        got = pack_documents(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, limits=limits, added=public_tokenizers.path("byte_bpe_50k.json")).collect()
         if df is not odd:  # unique ids: each document can be put together again
             ids = {i: [*theirs.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows_of(df)}
             parts = {}

@@ -132,8 +132,10 @@ def settled(spark: SparkSession, path: str, name: str, value: int) -> int:
 
 
 def buckets_for(df: DataFrame, bucket_bytes: int = 64 << 20, least: int = 32) -> int:
-    """Buckets of an index for data of the size of ``df``, by the optimizer's estimate."""
+    """Buckets of an index for data of the size of ``df``: the optimizer's estimate, or 2 KiB a row where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # what isn't read from files counts as endless
+        size = 2048 * df.count()
     return max(least, min(1 << 16, -(-size // bucket_bytes)))
 
 

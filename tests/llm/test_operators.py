@@ -943,3 +943,12 @@ def test_isotonic_as_brute_force():
             block = [j for j in range(30) if abs(fit[j] - fit[k]) < 1e-12]
             want.append((by[block].sum() + 0.05) / (len(block) + 0.1))
         assert np.allclose(np.interp(np.arange(30), at, p), np.maximum.accumulate(want))
+
+
+def test_buckets_follow_the_size(spark, corpus, tmp_path):
+    from tessera.llm.common import buckets_for
+
+    corpus.write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    assert buckets_for(corpus) == buckets_for(read) == 32
+    assert buckets_for(corpus, 4096, 1) == -(-2048 * corpus.count() // 4096) and 1 < buckets_for(read, 4096, 1) < 200

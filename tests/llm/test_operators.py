@@ -198,6 +198,26 @@ def test_components_of_chains(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_of_few_links_take_no_shuffle(spark, monkeypatch):
+    """In one task or by steps, with repeated links, loops and either direction, the components are the same."""
+    from tessera.llm import components
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    rows += [(1000 + (i * 37) % 101, 1000 + ((i + 1) * 37) % 101) for i in range(90)] + [(7, 7), (500, 500), rows[0], rows[0][::-1]]
+    links = spark.createDataFrame(rows, "u long, v long").repartition(5).localCheckpoint()
+    few = components.components(links)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    least = {x: x for row in rows for x in row if row[0] != row[1]}
+    for _ in rows:
+        for u, v in rows:
+            if u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    monkeypatch.setattr(components, "LOCAL", 0)
+    for found in (few, components.components(links)):
+        assert sorted(map(tuple, found.collect())) == sorted(least.items())
+
+
 # --- op 4
 
 

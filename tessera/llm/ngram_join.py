@@ -1,6 +1,7 @@
 """Jaccard self-join on word n-grams with adaptive multi-match prefixes.
 
-All shingles have one global order, frequent ones last.  Two documents of n and
+All shingles have one global order, frequent ones last: the most frequent by
+their counts, all others by how crowded their cell of a sketch is.  Two documents of n and
 m shingles that link share at least ``overlap(n, m)``, so the first
 ``n - overlap(n, m) + l`` of the one and ``m - overlap(n, m) + l`` of the other
 have l in common.  Each document gets the l that makes the estimated cost of its
@@ -16,7 +17,9 @@ only members of lists that still span two components after that meet each other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,10 @@ SALT_ROWS = 100_000
 #: Shingles that a task counts together, and how often one of them must be among these to be reported: what
 #: is known of a shingle is too low by less than that for each so many shingles of the table, never too high.
 COUNTED, REPORTED = 1 << 21, 2
+#: Every shingle is counted in one of 2 ** CELL_BITS cells, by its leading bits; a task sends its cells in so many parts.
+CELL_BITS, CELL_PARTS = 23, 64
+#: Crowding of a cell: how far its count is over the median, in deviations of a count by chance.
+CROWDING = (1.5, 3.0, 5.0, 8.0, 13.0, 20.0, 40.0)
 #: Rounds of further leaders before what is left is joined whole.  They end early when they find little, and
 #: are not needed where lists hold at most so many pairs a row.
 CROWDED = 4
@@ -100,9 +107,12 @@ _FREQUENT_BIT = np.uint64(1) << np.uint64(63)
 
 
 class Order:
-    """The global order: rare shingles by hash, then frequent ones by their number of documents."""
+    """The global order: rare shingles by the crowding of their cells and by hash, then frequent ones by their number of documents."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, missed: int = 0):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, missed: int = 0, crowding: bytes = b"", deviation: float = 1.0):
+        self.crowding = crowding  # of each cell 0 to 7, a byte each, compressed; nothing if unknown
+        # Documents beside its own that a shingle in such a cell is taken to have; the first steps may be chance.
+        self.beside = np.array([RARE_PARTNERS, RARE_PARTNERS, *(x * deviation for x in CROWDING[1:])])
         self.missed = missed  # documents by which counts may be too low
         by = np.argsort(tokens)
         self.tokens, counts = tokens[by], counts[by]
@@ -113,8 +123,14 @@ class Order:
         self.maybe = np.zeros(1 << 20, bool)  # by leading bits: most shingles are seen to be rare at once
         self.maybe[self.tokens >> np.uint64(44)] = True
 
+    @cached_property
+    def cells(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.crowding), np.uint8)
+
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        out = grams >> np.uint64(1)
+        out = grams >> np.uint64(4)
+        if self.crowding:
+            out |= self.cells[grams >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(60)
         if len(self.tokens):
             some = np.flatnonzero(self.maybe[grams >> np.uint64(44)])
             at = np.minimum(np.searchsorted(self.tokens, grams[some]), len(self.tokens) - 1)
@@ -127,7 +143,8 @@ class Order:
         docs = np.zeros(len(order), np.int64)
         known = order >= _FREQUENT_BIT
         docs[known] = self.count_of_rank[(order[known] ^ _FREQUENT_BIT).astype(np.int64)]
-        return np.where(known, docs - 1.0, RARE_PARTNERS), np.where(known, docs + self.missed, 0)
+        beside = self.beside[((order >> np.uint64(60)) & np.uint64(7)).astype(np.int64)]
+        return np.where(known, docs - 1.0, beside), np.where(known, docs + self.missed, 0)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -153,31 +170,40 @@ def _first_of_equal(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, k: int) -> DataFrame:
-    """Per document: key, doc_id, n shingles, signature (s1, s2); and what its task met often (tokens, counts).
+    """Per document: key, doc_id, n shingles, signature (s1, s2); and what its task met often (tokens, counts), and all by cells.
 
     A task counts COUNTED shingles at a time, those of equal sets that it reads
     together once, and reports what it met REPORTED times with the row it has
-    come to.
+    come to.  How many fell into each cell (up to 65,535) goes with its last row.
     """
+    slots = (1 << CELL_BITS) // CELL_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
+        sketch = np.zeros(1 << CELL_BITS, np.uint16)
 
-        def made(part: pa.RecordBatch, n, s1, s2, token, count) -> pa.RecordBatch:
+        def made(part: pa.RecordBatch, n, s1, s2, token, count, cells=None) -> pa.RecordBatch:
             at = np.zeros(len(part) + 1, np.int32)
             at[1:] = len(token)  # counts travel with the first row
             tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(signed(token)))
             counts = pa.ListArray.from_arrays(pa.array(at), pa.array(count.astype(np.int64)))
-            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, s1, s2, tokens, counts], ["key", "doc_id", "n", "s1", "s2", "tokens", "counts"])
+            sent = pa.array([None] * (len(part) - 1) + [cells], pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, s1, s2, tokens, counts, sent], ["key", "doc_id", "n", "s1", "s2", "tokens", "counts", "cells"])
 
         def often() -> tuple[np.ndarray, np.ndarray]:
             token, count = np.unique(np.concatenate(held), return_counts=True)
+            if len(token):
+                cell = (token >> np.uint64(64 - CELL_BITS)).astype(np.int64)  # sorted, as tokens are
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                sketch[cell[first]] = np.minimum(sketch[cell[first]] + np.add.reduceat(count, first), 65535)
             return token[count >= REPORTED], count[count >= REPORTED]
 
         none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        met = none
         for part, texts in _slices(batches):
             if last is not None:
-                yield made(*last, *none)
+                yield made(*last, *met)
+                met = none
             grams, first, _ = shingle_sets(texts, k)
             s1, s2 = _totals(grams, first)
             last = part.select(["key", "doc_id"]), pa.array(np.diff(first)), pa.array(signed(s1)), pa.array(signed(s2))
@@ -185,16 +211,39 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
             held.append(grams[np.repeat(alone, np.diff(first))])
             size += len(held[-1])
             if size >= COUNTED:
-                yield made(*last, *often())
-                held, size, last = [], 0, None
+                met = often()
+                held, size = [], 0
         if last is not None:
-            yield made(*last, *often())
+            met = often() if held else met
+            yield made(*last, *met, [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(CELL_PARTS, slots)])
+
+    return rows.mapInArrow(run, "key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, tokens array<bigint>, counts array<bigint>, cells array<binary>")
+
+
+def crowded_cells(signed_rows: DataFrame) -> tuple[bytes, float]:
+    """The crowding of all cells, compressed, and the deviation by which it is measured; a task sums up a part of the cells of all tasks."""
+    slots = (1 << CELL_BITS) // CELL_PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums = total.setdefault(at, np.zeros(slots, np.int64))
+                sums += np.frombuffer(zlib.decompress(cells.as_py()), np.uint16)
+        for at, sums in total.items():
+            usual = float(np.median(sums))
+            level = np.searchsorted(np.array(CROWDING), (sums - usual) / max(usual, 1.0) ** 0.5, side="right").astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([usual]), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], ["at", "usual", "level"])
 
-    return rows.mapInArrow(run, "key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, tokens array<bigint>, counts array<bigint>")
+    parts = signed_rows.where("cells IS NOT NULL").select(F.posexplode("cells").alias("at", "cells")).repartition(CELL_PARTS, "at")
+    found = sorted((r["at"], r["usual"], bytes(r["level"])) for r in parts.mapInArrow(run, "at int, usual double, level binary").collect())
+    if not found:
+        return b"", 1.0
+    return zlib.compress(b"".join(zlib.decompress(level) for _, _, level in found), 1), max(1.0, float(np.median([usual for _, usual, _ in found]))) ** 0.5
 
 
 def frequent_shingles(signed_rows: DataFrame) -> Order:
-    """The ``FREQUENT`` shingles with most documents; the order depends on them, the result doesn't."""
+    """The ``FREQUENT`` shingles with most documents, and how crowded others are; the order depends on them, the result doesn't."""
     top = (
         signed_rows.where(F.size("tokens") > 0)
         .select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
@@ -207,7 +256,7 @@ def frequent_shingles(signed_rows: DataFrame) -> Order:
     )
     met = signed_rows.agg(F.sum("n")).first()[0] or 0
     missed = (REPORTED - 1) * (met // COUNTED + signed_rows.rdd.getNumPartitions())
-    return Order(top["token"].to_numpy().view(np.uint64), top["count"].to_numpy(), missed)
+    return Order(top["token"].to_numpy().view(np.uint64), top["count"].to_numpy(), missed, *crowded_cells(signed_rows))
 
 
 def choose_l(places: np.ndarray, first: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray, np.ndarray]:

@@ -797,6 +797,26 @@ def test_substring_dedup_again(spark, corpus, tmp_path):
     assert len(files) == len({n.rsplit("_", 1)[-1] for n in files}) == 2  # a file a bucket, in the bucket that readers expect
 
 
+def test_ngram_order_knows_passages_that_no_task_meets_twice(spark):
+    """Shingles of a passage come after those of one document, though each task meets the passage once."""
+    from tessera.llm import ngram_join
+    from tessera.llm.substring_dedup import keyed
+
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = words(40)
+    rows = [(i, f"{words(30)} {passage}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id").localCheckpoint()
+    order = ngram_join.frequent_shingles(ngram_join.signatures(keyed(docs)[0], 5))
+    assert len(order.tokens) == 0
+    common = ngram_join.shingle_sets([passage.encode()], 5)[0]
+    grams, _, places = ngram_join.shingle_sets([rows[0][1].encode()], 5, order)
+    assert set(grams[-len(common) :].tolist()) == set(common.tolist())
+    assert (order.partners(places)[0][-len(common) :] > ngram_join.RARE_PARTNERS).all()
+    shown = ngram_join.prefixes(keyed(docs)[0], order, 5, 75)
+    assert shown.groupBy("token").count().where("count > 1").count() == 0  # none of the passage: no document is compared
+
+
 def test_ngram_counts_of_medium_frequency(spark, monkeypatch):
     """A shingle that no batch of a task holds often is counted over the task, and its list is split."""
     from tessera.llm import ngram_join

@@ -31,6 +31,8 @@ VOTERS, VOTES = (1, 9, 17, 25), 0.78
 NODES, QUERIES, BLOCK = 64, 128, 1 << 16
 #: Up to this length of a transform single precision counts bits without error.
 SINGLE = 1 << 14
+#: Overlapping integers whose bits are compared at once.
+PLACES = 1 << 18
 
 #: Sixteen filters (kind, first pitch class, classes, frames), made by a rule: kinds in turn, half an octave where a part of it would mostly be silent.
 FILTERS = [(i % 4, (i * 5) % 12, (6, 4, 3, 5)[i // 4] if i % 2 == 0 else 6, 8 * (1 + (i // 4 + i) % 4)) for i in range(16)]
@@ -151,39 +153,66 @@ def _signs(sizes: np.ndarray, codes: np.ndarray, channels: tuple[int, ...]) -> n
     return out
 
 
-def _spectra(signs: np.ndarray, length: int) -> np.ndarray:
-    """(frequency, recording, channel)."""
-    return np.ascontiguousarray(np.fft.rfft(signs if length <= SINGLE else signs.astype(np.float64), length, axis=2).transpose(2, 0, 1))
+def _length(positions: int) -> int:
+    """The next even length of a transform that is a product of small primes."""
+    return min(p << max(1, (-(-positions // p) - 1).bit_length()) for p in (1, 3, 5, 9, 15, 25, 27, 45, 75, 225))
 
 
-def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> float:
-    """Share of wrong bits where a, begun at ``offset`` of b, overlaps it."""
-    x, y = a[max(0, -offset) : len(b) - offset], b[max(0, offset) : offset + len(a)]
-    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) / (32 * len(x))
+def _spectra(signs: np.ndarray, length: int) -> np.ndarray:
+    """(channel, recording, frequency)."""
+    return np.ascontiguousarray(np.fft.rfft(signs if length <= SINGLE else signs.astype(np.float64), length, axis=2).transpose(1, 0, 2))
 
 
-def _best(ids: tuple[np.ndarray, np.ndarray], codes: tuple[list, list], agree: np.ndarray, length: int, votes: float) -> list[tuple[int, int, int, float]]:
-    """(query, node, offset, bit_errors) of each query's best among these recordings.
+class _Least:
+    """What the votes of each (node, offset modulo length) must reach, for queries of one size after another.
 
-    ``agree``: (query, node, offset modulo length), the mean over the voters of
-    agreeing less other positions.
+    Offsets at which too little overlaps never do.  Modulo a length of at least
+    m + size - OVERLAP they alone share a place with another offset, and none
+    with one at which enough overlaps.
     """
-    sizes = [np.array([len(c) for c in side]) for side in codes]
-    longest, n = int(sizes[0].max()), sizes[1][:, None]
-    offsets = np.arange(1 - longest, int(sizes[1].max()))
-    agree = np.concatenate([agree[:, :, length - longest + 1 :], agree[:, :, : int(sizes[1].max())]], axis=2)
-    found, last = [], None
-    for q, (query, m) in enumerate(zip(ids[0].tolist(), sizes[0].tolist(), strict=True)):
-        if m != last:
-            last, overlap = m, np.minimum(m, n - offsets) - np.maximum(0, -offsets)
-            least = np.where(overlap >= np.minimum(OVERLAP, np.minimum(m, n)), (2 * votes - 1) * overlap - 0.01, np.inf).astype(agree.dtype)
-        best = (BIT_ERRORS, np.inf, 0)
-        for j, k in zip(*(x.tolist() for x in np.nonzero(agree[q] >= least)), strict=True):
-            if ids[1][j] != query and (errors := bit_errors(codes[0][q], codes[1][j], int(offsets[k]))) <= best[0]:
-                best = min(best, (errors, int(ids[1][j]), int(offsets[k])))
-        if best[1] < np.inf:
-            found.append((query, best[1], best[2], best[0]))
-    return found
+
+    def __init__(self, sizes: np.ndarray, length: int, voters: int, votes: float, kind: np.dtype):
+        offsets = np.arange(length)
+        offsets = np.where(offsets < sizes.max(), offsets, offsets - length)
+        self.rest, self.before = (sizes[:, None] - offsets).astype(kind), np.maximum(0, -offsets).astype(kind)
+        self.enough, self.each = np.minimum(OVERLAP, sizes)[:, None], (2 * votes - 1) * voters
+        self.margin = 0.01 * voters
+
+    def of(self, m: int) -> np.ndarray:
+        overlap = np.minimum(self.rest, m) - self.before
+        few = overlap < np.minimum(self.enough, m).astype(overlap.dtype)
+        overlap *= self.each
+        overlap -= self.margin
+        overlap[few] = np.inf
+        return overlap
+
+
+def _errors(a: np.ndarray, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Shares of wrong bits where ``a``, begun at each ``offset`` of the ``size`` integers from ``begin`` of ``flat``, overlaps them."""
+    low = np.maximum(0, -offset)
+    n = np.minimum(len(a), size - offset) - low
+    ends, out = np.cumsum(n), []
+    while len(out) < len(n):
+        # So many integers at a time, one place at least.
+        first, done = len(out), int(ends[len(out)] - n[len(out)])
+        some = slice(first, max(first + 1, int(np.searchsorted(ends, done + PLACES, "right"))))
+        m, starts = n[some], ends[some] - n[some] - done
+        at = np.arange(int(m.sum())) + np.repeat(low[some] - starts, m)
+        wrong = np.bitwise_count(a[at] ^ flat[at + np.repeat((begin + offset)[some], m)])
+        out += (np.add.reduceat(wrong, starts, dtype=np.int64) / (32 * m)).tolist()
+    return np.array(out)
+
+
+def _best(query: int, mine: np.ndarray, ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, likely: np.ndarray) -> tuple[int, int, int, float] | None:
+    """(query, node, offset, bit_errors) of the best among the places (node, offset modulo their number) that have the votes."""
+    rows = np.flatnonzero(likely.any(axis=1) & (ids != query))
+    j, k = np.nonzero(likely[rows])
+    if not len(j):
+        return None
+    j, offset = rows[j], np.where(k < sizes.max(), k, k - likely.shape[1])
+    errors = _errors(mine, flat, (np.cumsum(sizes) - sizes)[j], sizes[j], offset)
+    best = np.lexsort((offset, ids[j], errors))[0]
+    return (query, int(ids[j[best]]), int(offset[best]), float(errors[best])) if errors[best] <= BIT_ERRORS else None
 
 
 def _matches(pairs: DataFrame) -> DataFrame:
@@ -203,17 +232,26 @@ def _matches(pairs: DataFrame) -> DataFrame:
                 row = [batch.column(i)[r].as_py() for i in range(6)]
                 ids = np.array(row[0]), np.array(row[3])
                 sizes = np.array(row[1]), np.array(row[4])
-                codes = tuple(np.split(np.frombuffer(row[3 * k + 2], "<u4"), np.cumsum(sizes[k])[:-1]) for k in (0, 1))
-                length = 1 << int(sizes[0].max() + sizes[1].max() - 2).bit_length()
+                mine, flat = np.split(np.frombuffer(row[2], "<u4"), np.cumsum(sizes[0])[:-1]), np.frombuffer(row[5], "<u4")
+                fewest = min(OVERLAP, int(sizes[0].min()), int(sizes[1].min()))
+                length = _length(int(sizes[0].max() + sizes[1].max()) - fewest)
                 # Few positions are few votes: there all bits vote, and those of a match are enough.
-                short = min(sizes[0].min(), sizes[1].min()) < OVERLAP
-                voters, votes = (tuple(range(32)), 1 - BIT_ERRORS) if short else (VOTERS, VOTES)
+                voters, votes = (tuple(range(32)), 1 - BIT_ERRORS) if fewest < OVERLAP else (VOTERS, VOTES)
                 left, right = (spectra(k, sizes[k], row[3 * k + 2], length, voters) for k in (0, 1))
-                for start in range(0, len(ids[0]), 16):
-                    some = slice(start, start + 16)
-                    product = np.conj(left[:, some]) @ right.transpose(0, 2, 1)
-                    agree = np.fft.irfft(np.ascontiguousarray(product.transpose(1, 2, 0)), length, axis=2) / len(voters)
-                    found += _best((ids[0][some], ids[1]), (codes[0][some], codes[1]), agree, length, votes)
+                # All queries use the same few arrays, which fit in a core's cache.
+                product, term = np.empty_like(right[0]), np.empty_like(right[0])
+                agree = np.empty((len(ids[1]), length), product.real.dtype)
+                needed, last = _Least(sizes[1], length, len(voters), votes, agree.dtype), None
+                for q, (query, m) in enumerate(zip(ids[0].tolist(), sizes[0].tolist(), strict=True)):
+                    if m != last:
+                        last, least = m, needed.of(m)
+                    conjugate = left[:, q].conj()
+                    np.multiply(right[0], conjugate[0], out=product)
+                    for c in range(1, len(voters)):
+                        product += np.multiply(right[c], conjugate[c], out=term)
+                    np.fft.irfft(product, length, axis=1, out=agree)
+                    if best := _best(query, mine[q], ids[1], sizes[1], flat, agree >= least):
+                        found.append(best)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["query", "node", "offset", "bit_errors"])
 

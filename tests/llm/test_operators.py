@@ -654,6 +654,40 @@ def test_audio_alignment_with_wrong_bits(spark):
     assert all(got[100 + i][1:] == (i, len(codes[i]) // 4 if i < 6 else 0) for i in range(12))
 
 
+def test_audio_pairs_need_no_longer_transforms_than_their_overlaps(monkeypatch):
+    """Offsets at which enough overlaps keep places of their own, and each pair is transformed by little more than these."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import audio
+
+    class Frame:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def mapInArrow(self, run, schema):
+            return [row for batch in run(iter([self.rows])) for row in batch.to_pylist()]
+
+    rng, points = np.random.default_rng(5), []
+    codes = [rng.integers(0, 1 << 32, 466).astype(np.int64) for _ in range(6)]
+    codes[1][-audio.OVERLAP :] = codes[0][: audio.OVERLAP]  # as little overlap as counts, at either end
+    codes[3][: audio.OVERLAP] = codes[2][-audio.OVERLAP :]
+    codes[5][-audio.OVERLAP + 1 :] = codes[4][: audio.OVERLAP - 1]  # too little
+    (block,) = audio._blocks(Frame(pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(codes, pa.list_(pa.int64()))], ["node", "codes"])), 64)
+    kinds = {"ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary()}
+    pair = pa.RecordBatch.from_arrays([pa.array([block[k]], t) for _ in range(2) for k, t in kinds.items()], list("abcdef"))
+    back = np.fft.irfft
+
+    def counted(spectra, length, **more):
+        points.append(spectra.size // spectra.shape[more["axis"]] * length)
+        return back(spectra, length, **more)
+
+    monkeypatch.setattr(np.fft, "irfft", counted)
+    found = {(r["query"], r["node"], r["offset"], r["bit_errors"]) for r in audio._matches(Frame(pair))}
+    assert found == {(0, 1, 402, 0.0), (1, 0, -402, 0.0), (2, 3, -402, 0.0), (3, 2, 402, 0.0)}
+    assert sum(points) <= 36 * 1.05 * (466 + 466 - audio.OVERLAP)
+
+
 def test_audio_recall(spark):
     """Cut, shifted and noisy copies of 210 recordings, and the best match as brute force finds it."""
     import numpy as np

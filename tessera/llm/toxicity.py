@@ -11,9 +11,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ SECOND_PERSON = frozenset(
 )
 LEET = str.maketrans("013457@$!", "oieastasi", "*_-.")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_MASK = re.compile(r"[\d@$!*_.]")
 _INNER = re.compile(r"[^\W\d_][\d@$!*_.]+[^\W\d_]|(.)\1\1")
 
 FEATURES = (
@@ -67,45 +69,88 @@ class TokenTable:
     """What each distinct token contributes; tokens are remembered up to a limit."""
 
     COLUMNS = 11
+    #: Bits of a character's class: letter, upper case, digit, what a letter may hide behind.
+    LETTER, CAPITAL, DIGIT, MASK = 1, 2, 4, 8
 
     def __init__(self, lexicon: dict[str, float], most: int = 200_000):
         self.lexicon, self.most = lexicon, most
-        self.index: dict[str, int] = {}
+        self.beginnings = {entry[:-1]: weight for entry, weight in lexicon.items() if entry.endswith("-")}
+        self.heads = {entry[:3] for entry in lexicon}  # no word with another beginning has a weight
+        self.classes = np.full(0x110000, 255, np.uint8)  # 255: not looked at yet
+        self.index: defaultdict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
         self.rows = np.zeros((1024, self.COLUMNS), np.float32)
 
-    def _weight(self, token: str) -> tuple[float, bool]:
+    def _weight(self, words: list[str]) -> tuple[float, bool]:
         best, insult = 0.0, False
-        for word in _LETTERS.findall(token):
+        for word in words:
             insult = insult or word in INSULTS
-            for s in stems(word):
-                best = max(best, self.lexicon.get(s, 0.0))
+            if word[:3] in self.heads:
+                best = max(best, self.lexicon.get(word, 0.0))
+                for n in range(3, min(len(word), 7)):
+                    best = max(best, self.beginnings.get(word[:n], 0.0))
         return best, insult
 
-    def _row(self, token: str) -> list[float]:
-        lower = token.lower()
-        weight, insult = self._weight(lower)
-        odd = bool(_INNER.search(lower))
-        if odd:
-            again, hidden = self._weight(lower.translate(LEET))
-            weight, insult = max(weight, again), insult or hidden
-        letters = sum(c.isalpha() for c in token)
-        upper = sum(c.isupper() for c in token)
-        digits = sum(c.isdigit() for c in token)
-        bare = lower.strip(".,;:!?\"'()[]")
-        return [weight, insult, bare in SECOND_PERSON, letters >= 2 and upper == letters, letters, upper, len(token) - letters - digits, token.count("!"), token.count("?"), digits, odd]
+    def _characters(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """(code points, their classes)."""
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        classes = self.classes[points]
+        if (unseen := classes == 255).any():
+            for x in np.unique(points[unseen]).tolist():
+                c = chr(x)
+                self.classes[x] = self.LETTER * c.isalpha() + self.CAPITAL * c.isupper() + self.DIGIT * c.isdigit() + self.MASK * bool(_MASK.match(c))
+            classes = self.classes[points]
+        return points, classes
+
+    def _made(self, tokens: list[str]) -> np.ndarray:
+        """Rows of tokens that are not known yet, their characters counted together."""
+        out = np.zeros((len(tokens), self.COLUMNS), np.float32)
+        sizes = np.array([len(t) for t in tokens])
+        begin = np.cumsum(sizes) - sizes
+        points, classes = self._characters("".join(tokens))
+        letters, upper, digits = (np.add.reduceat((classes & bit) > 0, begin, dtype=np.int64) for bit in (self.LETTER, self.CAPITAL, self.DIGIT))
+        out[:, 3] = (letters >= 2) & (upper == letters)
+        out[:, 4], out[:, 5], out[:, 6], out[:, 9] = letters, upper, sizes - letters - digits, digits
+        out[:, 7], out[:, 8] = (np.add.reduceat(points == ord(c), begin, dtype=np.int64) for c in "!?")
+        lowered = [t.lower() for t in tokens]
+        # Only where a character comes three times or one that hides a letter stands inside can a token be obfuscated.
+        sizes = np.array([len(t) for t in lowered])
+        begin = np.cumsum(sizes) - sizes
+        points, classes = self._characters("".join(lowered))
+        doubtful = (classes & self.MASK) > 0
+        doubtful[begin] = doubtful[begin + sizes - 1] = False
+        doubtful[2:] |= (points[2:] == points[1:-1]) & (points[1:-1] == points[:-2])
+        doubtful = np.logical_or.reduceat(doubtful, begin)
+        heads, nothing, found = self.heads, (0.0, False, False, False), []
+        for lower, doubt in zip(lowered, doubtful.tolist(), strict=True):
+            if lower.isalpha():
+                words, bare = [lower], lower
+                if not doubt and lower[:3] not in heads and lower not in INSULTS and lower not in SECOND_PERSON:
+                    found.append(nothing)
+                    continue
+            else:
+                words, bare = _LETTERS.findall(lower), lower.strip(".,;:!?\"'()[]")
+            weight, insult = self._weight(words)
+            odd = bool(doubt and _INNER.search(lower))
+            if odd:
+                again, hidden = self._weight(_LETTERS.findall(lower.translate(LEET)))
+                weight, insult = max(weight, again), insult or hidden
+            found.append((weight, insult, bare in SECOND_PERSON, odd))
+        out[:, 0], out[:, 1], out[:, 2], out[:, 10] = zip(*found, strict=True)
+        return out
 
     def of(self, tokens: list[str]) -> np.ndarray:
         if len(self.index) + len(tokens) > self.most and len(self.index) > self.most // 2:
             self.index.clear()
-        at = list(map(self.index.get, tokens))
-        if None in at:
-            for i, t in enumerate(tokens):
-                if at[i] is None:
-                    n = self.index.setdefault(t, len(self.index))
-                    if n >= len(self.rows):
-                        self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                    self.rows[n] = self._row(t)
-                    at[i] = n
+        known = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))  # new ones get the next numbers
+        if len(self.index) > known:
+            new = list(islice(reversed(self.index), len(self.index) - known))[::-1]
+            while len(self.index) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            for start in range(0, len(new), 10_000):
+                part = new[start : start + 10_000]
+                self.rows[known + start : known + start + len(part)] = self._made(part)
         return self.rows[at]
 
 
@@ -314,7 +359,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             out = [features(text, own[t]) for text, t in zip(texts, toxic, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(toxic, pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    matrix = chosen.mapInArrow(run, "doc_id bigint, toxic int, x array<double>").orderBy("doc_id").collect()
+    # A sort by Spark would compute the features a second time, to find its ranges.
+    matrix = sorted(chosen.mapInArrow(run, "doc_id bigint, toxic int, x array<double>").collect(), key=lambda r: (r["doc_id"], r["toxic"], r["x"]))
     x = np.array([r["x"] for r in matrix])
     y = np.array([r["toxic"] for r in matrix], np.float64)
     fold = np.array([fold_of(r["doc_id"]) for r in matrix])

@@ -933,6 +933,53 @@ def test_packing_of_conversations(spark):
     assert sum(b > 0.9 * limits.loss_tokens for b in bearing) > 0.5 * len(bearing)  # it does bind
 
 
+def test_toxicity_rows_of_tokens():
+    """What each token contributes, counted character by character, with less work than that."""
+    import random
+    import sys
+
+    import numpy as np
+
+    from tessera.llm import toxicity as X
+
+    rng = random.Random(4)
+    some = "aAbBidotIDOT1!?.@$*_- ıİßſÀé²Ⅷ一٣日本語😀"
+    tokens = ["".join(rng.choices(some.replace(" ", ""), k=rng.randint(1, 12))) for _ in range(4000)]
+    tokens += ["idiot", "1d10t", "i.d.i.o.t", "id-iot", "You!", "(you)", "ıııı", "İİİ", "!!!", "x" * 3000, "...a", "a...", "a.b", *(chr(c) for c in range(33, 0x3000) if not chr(c).isspace())]
+    tokens = list(dict.fromkeys(tokens))
+    lexicon = {"idi-": 2.5, "idiot": 3.0, "a": 0.5, "ab": 1.5, "aab-": 0.7, "éa": 1.0, "一": 2.0, "bbbbb-": 4.0}
+
+    def weight(text):
+        words = X._LETTERS.findall(text)
+        return max([0.0, *(lexicon.get(s, 0.0) for w in words for s in X.stems(w))]), any(w in X.INSULTS for w in words)
+
+    def row(token):
+        lower = token.lower()
+        odd = bool(X._INNER.search(lower))
+        ways = [weight(lower), *([weight(lower.translate(X.LEET))] if odd else [])]
+        letters, upper, digits = (sum(map(f, token)) for f in (str.isalpha, str.isupper, str.isdigit))
+        bare = lower.strip(".,;:!?\"'()[]") in X.SECOND_PERSON
+        return [max(w for w, _ in ways), any(i for _, i in ways), bare, letters >= 2 and upper == letters, letters, upper, len(token) - letters - digits, token.count("!"), token.count("?"), digits, odd]
+
+    table = X.TokenTable(lexicon)
+    got = table.of([*tokens, *tokens[:50]])
+    want = np.array([row(t) for t in tokens], np.float32)
+    assert (got == np.concatenate([want, want[:50]])).all() and (table.of(tokens[::-1]) == want[::-1]).all()
+    small = X.TokenTable(lexicon, 100)  # what doesn't fit is forgotten and made again
+    assert all((small.of(tokens[i : i + 80]) == want[i : i + 80]).all() for i in range(0, len(tokens), 40))
+    table, calls = X.TokenTable({}), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    plain = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(5000)]
+    sys.setprofile(count)
+    table.of(plain)
+    sys.setprofile(None)
+    assert calls < 10 * len(plain)
+
+
 def test_toxicity_as_brute_force(spark):
     """Lexicon, features, trees, calibration and scores, worked out again one text, word and node at a time."""
     import math

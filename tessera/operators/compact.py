@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..errors import CompactionFailed, InvalidInput
 from ..plans.persist import once
@@ -41,45 +45,179 @@ class CompactOptions:
                 raise InvalidInput(why)
 
 
-#: Files of a partition that one task packs; those of larger ones are dealt to several by their paths.
+#: Files whose packing a task sums up at a time.
 FILES_A_TASK = 100_000
+NEVER = (1 << 63) - 1
+OUTCOMES = pa.schema([("partition_key", pa.string()), ("part", pa.int32()), ("run", pa.int32()), *((name, pa.int64()) for name in ("through", "files", "groups", "used", "members"))])
+ENTRIES = pa.schema([("part", pa.int32()), ("before", pa.int32()), *((name, pa.int64()) for name in ("group_id", "used", "members", "total"))])
 
 
-def first_fit(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each of ascending sizes: the first with room, which only the newest can have."""
-    out, room = [], 0
+def first_fit(sizes: list[int], capacity: int, group: int = 0, used: int = 0) -> list[int]:
+    """The bin of each of ascending sizes: the first with room, which only the newest can have (at first ``group``, of which ``used`` is taken)."""
+    out, room = [], capacity - used
     for size in sizes:
-        if not out or size > room:
-            out.append(out[-1] + 1 if out else 0)
-            room = capacity
-        else:
-            out.append(out[-1])
+        if size > room:
+            group, room = group + 1, capacity
+        out.append(group)
         room -= size
     return out
 
 
+def outcomes(sizes: np.ndarray, capacity: int, debt: int = 0) -> dict[str, np.ndarray]:
+    """What a run of ascending sizes makes of any group that is open before it.
+
+    A row for each file that may be the first without room in that group, which
+    is so if ``through``, the bytes up to this file, don't fit; ``files`` are
+    before it, ``groups`` begin from it on, and the last of these has ``used``
+    bytes and ``members`` when the run ends.  The last row is for all fitting.
+    ``debt``: how far a group's bytes can be below nothing.
+    """
+    n = len(sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    low = int(np.searchsorted(sizes, 0, "right"))  # these fit anywhere
+    after = (np.searchsorted(ends[low + 1 :], ends[:-1] + capacity, "right") + low).tolist()  # the first file not in the group that each would open
+    groups, last = [1] * n, list(range(n))
+    for i in range(n - 1, low - 1, -1):
+        if after[i] < n:
+            groups[i], last[i] = groups[after[i]] + 1, last[after[i]]
+    many = low + int(np.searchsorted(ends[low:-1], capacity + debt, "right"))
+    begin = np.array(last[low:many], dtype=np.int64)
+    with_all = lambda values, rest: np.append(np.asarray(values, dtype=np.int64), rest)
+    return {
+        "through": with_all(ends[low + 1 : many + 1], NEVER), "files": with_all(range(low, many), n), "groups": with_all(groups[low:many], 0),
+        "used": with_all(ends[n] - ends[begin], ends[n]), "members": with_all(n - begin, n),
+    }
+
+
+def runs_of_keys(batch: pa.RecordBatch) -> list[tuple[str, pa.RecordBatch]]:
+    """Slices of consecutive rows of one partition."""
+    keys = batch.column("partition_key")
+    at = [0, *(np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(keys)]
+    return [(keys[a].as_py(), batch.slice(a, b - a)) for a, b in zip(at, at[1:], strict=False) if b > a]
+
+
+def sums(batches: Iterable[pa.RecordBatch], capacity: int, debt: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Outcomes of a task's sorted files, ``most`` at a time, for its first and last partition: only these can reach beyond the task."""
+    key, part, first, run, sizes, made = None, None, True, 0, [], []
+
+    def flush():
+        nonlocal run, sizes, made
+        if sizes:
+            rows = outcomes(np.concatenate(sizes), capacity, debt)
+            n = len(rows["through"])
+            made.append(pa.RecordBatch.from_pydict({"partition_key": [key] * n, "part": [part] * n, "run": [run] * n} | rows, schema=OUTCOMES))
+            run, sizes = run + 1, []
+
+    for batch in batches:
+        for k, rows in runs_of_keys(batch):
+            if k != key:
+                if first and key is not None:
+                    flush()
+                    yield from made
+                    first = False
+                key, part, run, sizes, made = k, rows.column("part")[0].as_py(), 0, [], []
+            found = rows.column("file_size_in_bytes").to_numpy(zero_copy_only=False)
+            while len(found):
+                free = most - sum(map(len, sizes))
+                sizes.append(found[:free])
+                found = found[free:]
+                if len(sizes[-1]) == free:
+                    flush()
+            if first:
+                yield from made
+                made = []
+    flush()
+    yield from made
+
+
+def entries(batches: Iterable[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """For each part in which a partition goes on: the group that is open when it begins, and how many members that gets in all.
+
+    ``batches``: outcomes in order.  Of each run the first row whose bytes don't
+    fit is what happens.
+    """
+    key, part, done, group, used, members = None, None, None, 0, 0, 0
+    waiting, out = [], []
+
+    def close(total: int) -> None:
+        out.extend((*w, total) for w in waiting)
+        waiting.clear()
+
+    for batch in batches:
+        for k, p, run, through, files, groups, bytes_, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key:
+                close(members)
+                key, part, done, group, used, members = k, p, None, 0, 0, 0
+            elif p != part:
+                waiting.append((p, part, group, used, members))
+                part = p
+            if done == (p, run) or through <= capacity - used:
+                continue
+            done = (p, run)
+            if groups:
+                close(members + files)
+                group, used, members = group + groups, bytes_, n
+            else:
+                used, members = used + bytes_, members + n
+    close(members)
+    yield pa.RecordBatch.from_pydict({f.name: [row[i] for row in out] for i, f in enumerate(ENTRIES)}, schema=ENTRIES)
+
+
+def packed(batches: Iterable[pa.RecordBatch], capacity: int, least: int, heads: dict[int, tuple], tails: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """A task's sorted files with their groups, without groups of fewer than ``least``.
+
+    ``heads``: of a part, the group that is open when it begins, its bytes, its
+    members so far and in all; ``tails``: the members in all of the group that is
+    open when the part ends.
+    """
+    key, part, group, used, members, known, held = None, None, 0, 0, 0, 0, []
+    for batch in batches:
+        for k, rows in runs_of_keys(batch):
+            if part is None:
+                key, part = k, rows.column("part")[0].as_py()
+                group, used, members, known = heads.get(part, (0, 0, 0, 0))
+            elif k != key:
+                key, group, used, members, known, held = k, 0, 0, 0, 0, []
+            sizes = rows.column("file_size_in_bytes").to_numpy(zero_copy_only=False)
+            found = np.array(first_fit(sizes.tolist(), capacity, group, used), dtype=np.int64)
+            rows = pa.RecordBatch.from_arrays([rows.column("partition_key"), pa.array(found), rows.column("file_path"), rows.column("file_size_in_bytes")], ["partition_key", "group_id", "file_path", "file_size_in_bytes"])
+            counts = np.bincount(found - group)
+            counts[0] = max(counts[0] + members, known)
+            if counts[0] >= least:
+                yield from held
+            if counts[0] >= least or len(counts) > 1:
+                held = []
+            yield rows.filter(pa.array(counts[found - group] >= least))
+            begin = int(np.searchsorted(found, found[-1]))  # of the newest group
+            if counts[-1] < least:
+                held.append(rows.slice(begin))
+            if len(counts) > 1:
+                group, used, members, known = int(found[-1]), 0, 0, 0
+            used, members = used + int(sizes[begin:].sum()), members + len(sizes) - begin
+    if tails.get(part, 0) >= least:
+        yield from held
+
+
 def plan_compaction(files: DataFrame, options: CompactOptions = CompactOptions()) -> DataFrame:
     """(partition_key, group_id, file_path, file_size_in_bytes) of the files to be compacted together.
 
     ``files``: file_path and file_size_in_bytes.  Files below the largest input
     size go, smallest first, to the first group of their partition with room;
-    groups of fewer than ``min_files`` are left alone.
+    groups of fewer than ``min_files`` are left alone.  Files are sorted over
+    all tasks; each task says what its own do to any group that may be open
+    before them, from which follows where each begins.
     """
-    capacity, least = min(options.target_bytes, options.max_group_bytes), options.min_files
-    small = files.select("file_path", "file_size_in_bytes", partition_key_column(F.col("file_path")).alias("partition_key")).where(F.col("file_size_in_bytes") < options.max_input_bytes)
+    capacity, least, most = min(options.target_bytes, options.max_group_bytes), options.min_files, FILES_A_TASK
+    small = files.select("file_path", "file_size_in_bytes", partition_key_column(F.col("file_path")).alias("partition_key")).where((F.col("file_size_in_bytes") < options.max_input_bytes) & F.col("file_path").isNotNull())
     if options.partition is not None:
         small = small.where(F.col("partition_key") == options.partition)
-    shares = small.groupBy("partition_key").agg(F.ceil(F.count(F.lit(1)) / FILES_A_TASK).alias("shares"))
-    dealt = small.join(shares, "partition_key").select("file_path", "file_size_in_bytes", "partition_key", F.pmod(F.xxhash64("file_path"), "shares").alias("share"))
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["file_size_in_bytes", "file_path"])
-        frame = frame.assign(group_id=first_fit(frame["file_size_in_bytes"].tolist(), capacity))
-        frame = frame[frame.groupby("group_id")["file_path"].transform("size") >= least]
-        return frame.assign(group_id=frame["group_id"] + frame["share"] * FILES_A_TASK).drop(columns="share")
-
-    schema = "file_path string, file_size_in_bytes bigint, partition_key string, group_id bigint"
-    return dealt.groupBy("partition_key", "share").applyInPandas(pack, schema).select("partition_key", "group_id", "file_path", "file_size_in_bytes")
+    order = ("partition_key", "file_size_in_bytes", "file_path")
+    dealt = once(small.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    debt = -(dealt.agg(F.sum(F.least("file_size_in_bytes", F.lit(0)))).first()[0] or 0)
+    made = dealt.select("partition_key", "file_size_in_bytes", "part").mapInArrow(lambda batches: sums(batches, capacity, debt, most), from_arrow_schema(OUTCOMES))
+    found = made.repartition("partition_key").sortWithinPartitions("partition_key", "part", "run", "through").mapInArrow(lambda batches: entries(batches, capacity), from_arrow_schema(ENTRIES)).collect()
+    heads, tails = {r["part"]: tuple(r)[2:] for r in found}, {r["before"]: r["total"] for r in found}  # a row a task at most
+    return dealt.mapInArrow(lambda batches: packed(batches, capacity, least, heads, tails), "partition_key string, group_id bigint, file_path string, file_size_in_bytes bigint")
 
 
 def plan_totals(plan: DataFrame, options: CompactOptions = CompactOptions()) -> DataFrame:

@@ -304,6 +304,36 @@ def test_packing_of_many_files_is_shared(spark, monkeypatch):
     assert plan.select("file_path").distinct().count() == plan.count() > 450
 
 
+def next_fit(files, capacity, least):
+    """(partition_key, group_id, file_path, size) file by file."""
+    out, groups = [], {}
+    for path, size in sorted(files, key=lambda f: (f[1], f[0])):
+        key = path.split("/")[3]
+        group, used = groups.get(key, (0, 0))
+        group, used = (group, used + size) if used + size <= capacity else (group + 1, size)
+        groups[key] = group, used
+        out.append((key, group, path, size))
+    return sorted(r for r in out if sum(r[:2] == x[:2] for x in out) >= least)
+
+
+@pytest.mark.parametrize("sizes", ["id * id % 97 + 1", "id % 9000 + 1000", "7", "id - 300", "if(id % 5 = 0, -40, id % 3)"])
+def test_packing_does_not_depend_on_the_number_of_files_or_tasks(spark, monkeypatch, sizes):
+    from tessera.operators import compact
+
+    rows = spark.range(700).select(F.format_string("/t/data/d=%d/%05d.parquet", F.least(F.col("id") % 11, F.lit(2)), "id").alias("file_path"), F.expr(sizes).cast("bigint").alias("file_size_in_bytes"))
+    options = CompactOptions(target_bytes=20_000, max_input_bytes=9_500, max_group_bytes=20_000)
+    want = next_fit([tuple(r) for r in rows.collect() if r[1] < 9_500], 20_000, 3)
+    monkeypatch.setattr(compact, "FILES_A_TASK", 60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for tasks in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            assert sorted(map(tuple, plan_compaction(rows, options).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_commits_that_fail_leave_the_table_readable(catalog, spark, monkeypatch):
     table, _ = append_or_create(catalog, "db.t", people(spark, (1, "a")))
     ids = lambda: sorted(r["id"] for r in catalog.load_table("db.t").scan().collect())

@@ -284,7 +284,7 @@ def _rewrite(table: Table, plan: DataFrame) -> DataFrame:
     rows = spark.read.schema(by_name(table.schema)).parquet(*(r[0] for r in number_of.select("file_path").collect()))
     at = plain_column(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     names = {f.name: f"c{i}" for i, f in enumerate(struct.fields)}  # whatever the columns are called
-    rows = rows.select(at.alias("file_path"), *(F.col(f"`{f.name}`").alias(names[f.name]) for f in struct.fields)).join(number_of, "file_path")
+    rows = rows.select(at.alias("file_path"), *(F.col(f"`{f.name}`").alias(names[f.name]) for f in struct.fields)).join(F.broadcast(number_of), "file_path")  # else Spark may broadcast the rows, as it knows the sizes of files only
     n = groups.count()
     draft = f"{location}/data/draft-{uuid.uuid4()}"
     rows.repartitionById(n, F.col("number")).select(*(F.col(names[f.name]).alias(f.name, metadata=f.metadata) for f in struct.fields)).write.option("maxRecordsPerFile", 0).parquet(draft)

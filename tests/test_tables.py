@@ -334,6 +334,23 @@ def test_packing_does_not_depend_on_the_number_of_files_or_tasks(spark, monkeypa
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_compaction_broadcasts_the_list_of_files_and_not_their_rows(catalog, spark, monkeypatch, threshold):
+    df = spark.range(100).select("id", (F.col("id") % 2).cast("string").alias("k"))
+    table, _ = append_or_create(catalog, "db.t", df, "k", files_per_partition=4)
+    frame, plans = type(df), []
+    monkeypatch.setattr(frame, "repartitionById", lambda self, *a, f=frame.repartitionById: plans.append(self._jdf.queryExecution().sparkPlan().toString()) or f(self, *a))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert compact_table(table).groups == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0]
+    assert sorted(r["id"] for r in table.refresh().scan().collect()) == list(range(100))
+
+
 def test_commits_that_fail_leave_the_table_readable(catalog, spark, monkeypatch):
     table, _ = append_or_create(catalog, "db.t", people(spark, (1, "a")))
     ids = lambda: sorted(r["id"] for r in catalog.load_table("db.t").scan().collect())

@@ -334,6 +334,16 @@ def test_packing_does_not_depend_on_the_number_of_files_or_tasks(spark, monkeypa
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_totals_of_many_files_are_those_of_packing_file_by_file(spark, monkeypatch):
+    from tessera.operators import compact
+
+    monkeypatch.setattr(compact, "FILES_A_TASK", 60)
+    rows = spark.range(400).select(F.format_string("/t/data/d=%d/%05d.parquet", F.col("id") % 2, "id").alias("file_path"), (F.col("id") * 37 % 8999 + 1).alias("file_size_in_bytes"))
+    options = CompactOptions(target_bytes=20_000, max_input_bytes=9_500, max_group_bytes=20_000)
+    want = next_fit([tuple(r) for r in rows.collect()], 20_000, 3)
+    assert plan_totals(plan_compaction(rows, options), options).first()[:3] == (len({r[:2] for r in want}), len(want), sum(r[3] for r in want))
+
+
 @pytest.mark.parametrize("threshold", ["-1", "10m"])
 def test_compaction_broadcasts_the_list_of_files_and_not_their_rows(catalog, spark, monkeypatch, threshold):
     df = spark.range(100).select("id", (F.col("id") % 2).cast("string").alias("k"))
